@@ -51,8 +51,9 @@ def _truncates(changes: DataFrame):
     return changes.where("op = 'T'").agg(F.array_sort(F.collect_list(F.struct("lsn", "ord"))).alias("truncates"))
 
 
-def versions_of(changes: DataFrame, key: list[str], columns: list[str], strict: bool = True) -> DataFrame:
-    """Version rows (columns, __ord, __lsn_to, __lsn) of a change log."""
+def versions_of(changes: DataFrame, key: list[str], columns: list[str], strict: bool = True, truncates: bool = True) -> DataFrame:
+    """Version rows (columns, __ord, __lsn_to, __lsn) of a change log. ``truncates`` false: it has none, which
+    saves the pass that looks for them; likewise a log without the column ``unchanged`` is not filled."""
     if strict and not (wrong := violations(changes, key, columns)).isEmpty():
         first = wrong.first()
         raise ChangeError(f"{first['problem']} at position {first['lsn']}, change {first['ord']}")
@@ -62,14 +63,19 @@ def versions_of(changes: DataFrame, key: list[str], columns: list[str], strict:
         end = F.coalesce(F.get(after, F.lit(0))["lsn"], F.lit(HEAD))
         return rows.select(*columns, F.col("ord").alias(ORD), end.alias(LSN_TO), F.col("lsn").alias(LSN))
     order = Window.partitionBy(*key).orderBy("lsn", "ord", "sub")
-    filled = _filled(_events(changes, key, columns), key, columns)
-    rows = filled.withColumn("next", F.lead("lsn").over(order)).where("sub = 1").crossJoin(F.broadcast(_truncates(changes)))
+    filled = _filled(_events(changes, key, columns), key, columns, "unchanged" in changes.columns)
+    rows = filled.withColumn("next", F.lead("lsn").over(order)).where("sub = 1")
+    if not truncates:
+        return rows.select(*columns, F.col("ord").alias(ORD), F.coalesce("next", F.lit(HEAD)).alias(LSN_TO), F.col("lsn").alias(LSN))
+    rows = rows.crossJoin(F.broadcast(_truncates(changes)))
     end = F.least(F.coalesce("next", F.lit(HEAD)), F.coalesce(F.get(after, F.lit(0))["lsn"], F.lit(HEAD)))
     return rows.select(*columns, F.col("ord").alias(ORD), end.alias(LSN_TO), F.col("lsn").alias(LSN))
 
 
-def _filled(events: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+def _filled(events: DataFrame, key: list[str], columns: list[str], fill: bool) -> DataFrame:
     """Unchanged columns take the last known value of their key; a moved row takes it from its old key."""
+    if not fill:
+        return events
     before = Window.partitionBy(*key).orderBy("lsn", "ord", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     plain = [c for c in columns if c not in key]
     out = events
@@ -108,7 +114,7 @@ def violations(changes: DataFrame, key: list[str], columns: list[str]) -> DataFr
 def version_rows(changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """The raw form: one immutable row per change and a tombstone for every key that ends, the old key of
     a moved row included. Columns plus _lsn, _ord, _deleted."""
-    filled = _filled(_events(changes, key, columns), key, columns)
+    filled = _filled(_events(changes, key, columns), key, columns, "unchanged" in changes.columns)
     return filled.select(*columns, F.col("lsn").alias("_lsn"), (F.col("ord") * 2 + F.col("sub")).alias("_ord"), (F.col("sub") == 0).alias("_deleted"))
 
 

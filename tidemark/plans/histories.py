@@ -48,7 +48,7 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions_of(order_changes(spark, sf_dir), ORDER_KEY, ORDER_COLUMNS, strict=False)
+    return versions_of(order_changes(spark, sf_dir), ORDER_KEY, ORDER_COLUMNS, strict=False, truncates=False)
 
 
 def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions_of(event_changes(spark, sf_dir), ["event_id"], EVENT_COLUMNS, strict=False)
+    return versions_of(event_changes(spark, sf_dir), ["event_id"], EVENT_COLUMNS, strict=False, truncates=False)
 
 
 def document_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def document_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = d.withColumn("c", F.explode(F.filter(F.array(
         change(100, "I", F.col("text0")), F.when(F.col("doc_id") % 41 == 0, change(300, "U", longer)), F.when(F.col("doc_id") % 37 == 0, change(400, "D", F.col("text0")))
     ), lambda c: c.isNotNull())))
-    return versions_of(out.select("doc_id", "c.*"), ["doc_id"], ["doc_id", "text"], strict=False)
+    return versions_of(out.select("doc_id", "c.*"), ["doc_id"], ["doc_id", "text"], strict=False, truncates=False)
 
 
 def customer_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def customer_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     rows = rows.select(F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("tenant_id"), F.col("c_mktsegment").alias("segment"), F.col("r_name").alias("region"))
     changes = rows.withColumns({"lsn": F.lit(100).cast("bigint"), "ord": F.lit(0), "op": F.lit("I")})
-    return versions_of(changes, ["customer_id"], ["customer_id", "tenant_id", "segment", "region"], strict=False)
+    return versions_of(changes, ["customer_id"], ["customer_id", "tenant_id", "segment", "region"], strict=False, truncates=False)
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
