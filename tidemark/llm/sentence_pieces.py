@@ -34,8 +34,8 @@ from tidemark.llm.common import map_batches, table, texts_of
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
-#: Words remembered per worker, and the longest word that is remembered.
-MEMO, LONG = 500_000, 40
+#: Words remembered per worker, the longest that is remembered, words solved at once and the bytes of the longest of them.
+MEMO, LONG, LOT, WIDE = 500_000, 40, 8192, 96
 _WORDS = re.compile(r" *[^ ]+| +$")
 
 
@@ -166,6 +166,7 @@ class Unigram:
         self.unknown = float(self.scores[normal].min()) - 10.0
         best = float(self.scores[normal].max())
         self.score = self.scores.tolist()
+        self.gain = np.array(self.score)
         self.base, self.check = self.trie.base.tolist(), self.trie.check.tolist()
         for k in matched:  # a piece the user defined always wins, as in the library
             if kinds[k] == USER:
@@ -221,6 +222,70 @@ class Unigram:
             at = start
         return ids[::-1]
 
+    def solve_many(self, words: list[bytes]) -> list[bytes]:
+        """Packed best ids of many words of at most WIDE bytes: the trie is walked from all places at once,
+        then every word takes its Viterbi steps side by side."""
+        n = len(words)
+        lens = np.fromiter(map(len, words), np.int64, n)
+        text = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(lens)[:-1]])
+        owner = np.repeat(np.arange(n), lens)
+        left = np.repeat(first + lens, lens) - np.arange(len(text))  # bytes from here to the word's end
+        base, check = self.trie.base, self.trie.check
+        place = np.flatnonzero((text & 0xC0) != 0x80)
+        one = np.where(text < 0x80, 1, np.where(text < 0xE0, 2, np.where(text < 0xF0, 3, 4)))
+        covered = np.zeros(len(text), bool)
+        state, begins, ends, ids = np.zeros(len(place), np.int64), [], [], []
+        for step in range(self.longest):
+            alive = left[place] > step
+            place, state = place[alive], state[alive]
+            child = base[state] + text[place + step] + 1
+            ok = check[child] == state
+            place, state = place[ok], child[ok]
+            if not len(place):
+                break
+            leaf = base[state]
+            hit = check[leaf] == state
+            at = place[hit]
+            begins.append(at)
+            ends.append(at + step + 1)
+            ids.append(base[leaf[hit]])
+            covered[at[one[at] == step + 1]] = True
+        begin, end, piece_of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (begins, ends, ids))
+        bare = np.unique(owner[((text & 0xC0) != 0x80) & ~covered])
+        word = owner[begin]
+        begin, end = begin - first[word], end - first[word]
+        order = np.argsort(begin, kind="stable")
+        begin, end, piece_of, word = begin[order], end[order], piece_of[order], word[order]
+        wide = int(lens.max()) + 1
+        best = np.full(n * wide, -inf)
+        best[np.arange(n) * wide] = 0.0
+        back, piece = np.zeros(n * wide, np.int64), np.zeros(n * wide, np.int64)
+        gain, here, there = self.gain[piece_of], word * wide + begin, word * wide + end
+        cuts = np.searchsorted(begin, np.arange(wide + 1))
+        for at in range(wide):
+            s = slice(cuts[at], cuts[at + 1])
+            total, to = best[here[s]] + gain[s], there[s]
+            better = total > best[to]
+            to = to[better]
+            best[to], back[to], piece[to] = total[better], at, piece_of[s][better]
+        row, at = np.arange(n), lens.copy()
+        rows, found = [], []
+        while len(row):
+            cell = row * wide + at
+            rows.append(row)
+            found.append(piece[cell])
+            at = back[cell]
+            row, at = row[at > 0], at[at > 0]
+        rows, found = np.concatenate(rows[::-1]), np.concatenate(found[::-1])
+        order = np.argsort(rows, kind="stable")
+        packed = found[order].astype("<i4").tobytes()
+        edge = (np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]) * 4).tolist()
+        out = [packed[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+        for k in bare.tolist():  # words with characters that fall back to bytes
+            out[k] = array("i", self.solve(words[k])).tobytes()
+        return out
+
     def _words(self, text: str) -> list[str]:
         """The text cut before each run of spaces; a word's one leading space is left out."""
         text = text.replace(MARK, " ")
@@ -231,12 +296,10 @@ class Unigram:
             return led[1:].split(" ")
         return [w[1:] if w[0] == " " and w[1:2] not in ("", " ", "\0") else "\0" + w for w in _WORDS.findall(led)]
 
-    def _ids(self, word: str) -> bytes:
-        if self.by_word and word[:1] != "\0":
-            word = " " + word
-        elif self.by_word:
-            word = word[1:]
-        return array("i", self.solve(word.replace(" ", MARK).encode("utf-8", "surrogatepass"))).tobytes()
+    def _raw(self, word: str) -> bytes:
+        if self.by_word:
+            word = word[1:] if word[:1] == "\0" else " " + word
+        return word.replace(" ", MARK).encode("utf-8", "surrogatepass")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -245,8 +308,13 @@ class Unigram:
         if len(self.known) + len(missing) > MEMO:
             self.known = dict(islice(self.known.items(), len(self.known) // 2, None))  # the later half stays
             missing = set().union(*cut) - self.known.keys()
-        for word in missing:
-            self.known[word] = self._ids(word)
+        order = sorted(missing, key=len)
+        for at in range(0, len(order), LOT):
+            lot = order[at : at + LOT]
+            raw = [self._raw(w) for w in lot]
+            narrow = [k for k, w in enumerate(raw) if len(w) <= WIDE]
+            self.known.update(zip([lot[k] for k in narrow], self.solve_many([raw[k] for k in narrow]) if narrow else [], strict=True))
+            self.known.update((lot[k], array("i", self.solve(w)).tobytes()) for k, w in enumerate(raw) if len(w) > WIDE)
         get = self.known.__getitem__
         out = [np.frombuffer(b"".join(map(get, words)), np.int32) for words in cut]
         for word in missing:
