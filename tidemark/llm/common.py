@@ -66,23 +66,18 @@ def _forget_at_exit() -> None:
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = BATCH_ROWS
 ) -> DataFrame:
-    """``mapInArrow`` with one function per bounded batch."""
+    """``mapInArrow`` with one function per batch of at most ``rows`` rows."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            out = fn(batch)
-            if out is None:
-                continue
-            if isinstance(out, pa.Table):
-                yield from out.to_batches()
-            else:
-                yield out
+            for at in range(0, batch.num_rows, rows):
+                yield fn(batch.slice(at, rows))
 
     return df.mapInArrow(run, schema)
 

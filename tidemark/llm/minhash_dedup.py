@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_batches, table, texts_of, written
 
 SLOTS, MISS, SIEVE = 252, 1e-7, 5.5
+#: Members and bytes of sets in a block, and columns of the dense matrix two blocks are compared in.
+BLOCK, BLOCK_BYTES, COLUMNS = 64, 2 << 20, 8192
 _LOW = np.uint64((1 << 40) - 1)
 _ROUND = np.arange(2 * SLOTS, dtype=np.uint64)
 
@@ -157,6 +159,60 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(both, one, "a bigint, b bigint")
 
 
+def block_links(left: list[dict], right: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Confirmed links between two blocks of (id, own, items): one for each left id and right component."""
+    sets = [np.frombuffer(m["items"], np.uint64) for m in (*left, *right)]
+    sizes = np.array([len(x) for x in sets])
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    _, cols = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(cols, kind="stable")
+    rows, cols = rows[order], cols[order]
+    n, common = len(left), np.zeros((len(left), len(right)), np.float64)
+    for low in range(0, int(cols[-1]) + 1 if len(cols) else 0, COLUMNS):
+        a, b = np.searchsorted(cols, [low, low + COLUMNS])
+        dense = np.zeros((len(sets), min(COLUMNS, int(cols[b - 1]) - low + 1)), np.float32)
+        dense[rows[a:b], cols[a:b] - low] = 1
+        common += dense[:n] @ dense[n:].T
+    linked = 100 * common >= percent * (sizes[:n, None] + sizes[None, n:] - common)
+    own = [np.array([m["own"] for m in side], np.int64) for side in (left, right)]
+    linked &= own[0][:, None] != own[1][None, :]
+    found: dict[tuple[int, int], int] = {}
+    for x, y in zip(*np.nonzero(linked), strict=True):
+        found.setdefault((left[x]["id"], int(own[1][y])), right[y]["id"])
+    return [(x, y) for (x, _), y in found.items()]
+
+
+def family_links(marked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between members of a family whose components differ.
+
+    ``marked``: id, own component, family (the component of a centre whose bucket it is in). Members
+    of other components meet all of the family, block against block: a block has about ``BLOCK``
+    members or ``BLOCK_BYTES`` of sets, blocks meet in tasks of their own, and only links leave a task.
+    """
+    sized = sets.select("id", F.length("items").alias("bytes"))
+    totals = marked.join(sized, "id").groupBy("family").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"),
+        F.max(F.col("own") != F.col("family")).alias("open"),
+    )
+    placed = marked.join(totals.where("open").drop("open"), "family")
+    placed = written(placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks"), "placed")
+    whole = placed.join(sets, "id").groupBy("family", "block").agg(F.collect_list(F.struct("id", "own", "items")).alias("members"))
+    whole = written(whole, "blocks")
+    apart = placed.where("own <> family").select("family", F.col("block").alias("x")).distinct()
+    meets = apart.join(placed.select("family", F.col("block").alias("y")).distinct(), "family")
+    left = whole.select("family", F.col("block").alias("x"), F.filter("members", lambda m: m["own"] != F.col("family")).alias("apart"))
+    right = whole.select("family", F.col("block").alias("y"), "members")
+    both = meets.join(left, ["family", "x"]).join(right, ["family", "y"]).select("apart", "members")
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        links: list[tuple[int, int]] = []
+        for k in range(batch.num_rows):
+            links += block_links(batch.column("apart")[k].as_py(), batch.column("members")[k].as_py(), percent)
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    return map_batches(both, one, "a bigint, b bigint", rows=4)
+
+
 def components(links: DataFrame) -> DataFrame:
     """id and label (the smallest id reachable) of every end of a link.
 
@@ -207,20 +263,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = written(confirmed(star, sets, percent), "links")
     labels = components(links)
 
-    # Members outside their centre's component meet everyone else in the bucket.
+    # Members outside their centre's component meet that component and one another.
     of_id = labels.select("id", F.col("label").alias("own"))
-    of_centre = labels.select(F.col("id").alias("centre"), F.col("label").alias("main"))
+    of_centre = labels.select(F.col("id").alias("centre"), F.col("label").alias("family"))
     marked = member.join(of_id, "id", "left").join(of_centre, "centre", "left")
-    marked = marked.select("key", "id", F.coalesce("own", "id").alias("own"), F.coalesce("main", "centre").alias("main"))
-    apart = marked.where("own <> main").join(bits, "id")
-    open_keys = apart.select("key").distinct()
-    apart = written(apart, "apart")
-    there = written(marked.join(open_keys, "key", "left_semi").drop("main").join(bits, "id"), "there")
-    x, y = apart.alias("x"), there.alias("y")
-    pair = (F.col("x.key") == F.col("y.key")) & (F.col("x.own") != F.col("y.own")) & may_link("x", "y", percent)
-    rest = x.join(y, pair).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(confirmed(written(rest.join(seen, ["a", "b"], "left_anti"), "rest"), sets, percent), "links")
+    marked = marked.select("id", F.coalesce("own", "id").alias("own"), F.coalesce("family", "centre").alias("family")).distinct()
+    more = written(family_links(written(marked, "families"), sets, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
