@@ -188,7 +188,7 @@ def test_packing_plan_moves_blocks_like_pieces():
     for blocks in (3, 50, 10**9):
         rows = packing.plan(histogram, 64, blocks)
         fill = Counter()
-        for n in histogram:
+        for n in sorted(histogram, reverse=True):
             mine = sorted((r for r in rows.tolist() if r[0] == n), key=lambda r: r[1])
             for (_, a, seq, at), b in zip(mine, [*[m[1] for m in mine[1:]], histogram[n]], strict=True):
                 for j in range(b - a):
