@@ -56,12 +56,13 @@ def best_paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     for _ in range(rounds):
         near = reach[-1]
         far = near.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("hops").alias("hops2"))
-        further = near.join(far, ["tree", "up"], "left").select(
+        moving = near.where("up is not null")  # the rest has reached its root and is not joined again
+        further = moving.join(far, ["tree", "up"], "left").select(
             "tree", "id", F.col("up2").alias("up"),
             (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
             (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"),
         )
-        reach.append(written(further, "reach"))
+        reach.append(written(further.unionByName(near.where("up is null").select(further.columns)), "reach"))
     parents = reach[0].where("up is not null").select("tree", F.col("up").alias("id")).distinct()
     leaves = reach[-1].where("up is null").join(parents, ["tree", "id"], "left_anti")
     ranks = Window.partitionBy("tree").orderBy(F.desc("total"), "id")
