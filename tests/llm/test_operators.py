@@ -194,7 +194,7 @@ def test_packing_plan_moves_blocks_like_pieces():
                 for j in range(b - a):
                     assert fill[seq + j] == at
                     fill[seq + j] += n
-        assert max(fill.values()) <= 64 and len(fill) <= 1.01 * sum(k * v for k, v in histogram.items()) / 64 + 2
+        assert max(fill.values()) <= 64 and len(fill) <= 1.02 * sum(k * v for k, v in histogram.items()) / 64 + 2
 
 
 def brute_components(texts, width, percent):
