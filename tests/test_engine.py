@@ -1,3 +1,5 @@
+import datetime as dt
+
 import duckdb
 import pytest
 
@@ -129,3 +131,28 @@ def test_ledgers(tmp_path):
     for bad in ((5, 40, "q", []), (4, 30, "q", []), (4, 40, "x", []), (4, 40, "q", [("delete", "orders", 1, None)])):
         with pytest.raises(LedgerError):
             o.apply(*bad)
+
+
+@pytest.mark.parametrize("name", ["sql_percent_rank", "sql_math", "sql_strings", "sql_regexp", "sql_hashing", "sql_varchar_cast"])
+def test_queries_give_every_row(spark, name):
+    con, path = duckdb.connect(), "/root/testdata/sf0.01"
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet'")
+    found = con.execute(ORACLES[name])
+    names = [d[0] for d in found.description]
+    expected = sorted(found.fetchall(), key=repr)
+    got = sorted((tuple(r) for r in QUERIES[name](spark, path).select(*names).collect()), key=repr)
+    assert got == expected and len(got) == con.execute(f"SELECT count(*) FROM {H.orders_sql(500)} s").fetchone()[0]
+
+
+def test_freshness_of_every_row(spark, sf_dir, tmp_path):
+    first = dt.datetime(2024, 1, 1)
+    commits = [(k * 7 % 50, first + dt.timedelta(minutes=41 * k)) for k in range(50)] + [(90, None), (60, first + dt.timedelta(minutes=82))]
+    times = [first + dt.timedelta(minutes=13 * k - 30) for k in range(200)] * 2 + [c[1] for c in commits]
+    spark.createDataFrame(commits, "event_id bigint, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame(list(enumerate(times)), "l_orderkey bigint, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    newest = lambda at: max((k for k, ts in commits if at and ts and ts <= at), default=None)
+    for name, rows in (("o12_freshness_all", times), ("o12_freshness", times[:40])):
+        got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(got, key=repr) == sorted(((at, newest(at)) for at in rows), key=repr)
+    assert QUERIES["o12_freshness_all"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
