@@ -341,6 +341,24 @@ def test_url_parts_and_rules(spark):
     assert urls.url_filters(pages.where("false"), urls.outcomes_of(labels)).count() == 0
 
 
+def test_hosts_without_labels_back_off(spark):
+    hosts = [f"h{k}.bad.org" for k in range(4)] + [f"h{k}.good{d}.org" for d in range(6) for k in range(4)]
+    rows = [(100 * n + k, f"http://{host}/x", int(".bad." in host and k < 27)) for n, host in enumerate(hosts) for k in range(30)]
+    new = ["http://new.bad.org/", "http://new.good1.org/", "http://new.other.org/", "http://new.elsewhere.io/", None]
+    pages = spark.createDataFrame([r[:2] for r in rows] + [(90_000 + k, u) for k, u in enumerate(new)], "page_id bigint, url string")
+    labels = spark.createDataFrame([(r[0], 1, r[2]) for r in rows], "doc_id bigint, quality int, toxic int")
+    outcomes = urls.outcomes_of(labels)
+    cut = pages.select("page_id", urls.split_url(F.col("url"))[0].alias("host"))
+    known = {r["host"]: r for r in urls.reputations(cut, outcomes).collect()}
+    assert set(known) == {*hosts, "new.bad.org", "new.good1.org", "new.other.org", "new.elsewhere.io", ""}
+    bad = known["new.bad.org"]
+    assert bad["n"] == 0 and 0.85 < bad["mean"] < 0.9 and bad["low"] > urls.LIMIT and known["h0.bad.org"]["blocked"]
+    assert known["new.other.org"]["low"] < known["new.other.org"]["mean"] < 0.3
+    got = {r["page_id"]: r["verdict"] for r in urls.url_filters(pages, outcomes).collect()}
+    assert [got[90_000 + k] for k in range(5)] == ["block", "allow", "allow", "allow", "allow"]
+    assert all(got[r[0]] == ("block" if ".bad." in r[1] else "allow") for r in rows)
+
+
 def test_toxicity_learns_from_documents(spark):
     rng = random.Random(8)
     plain = [f"{a}{b}" for a in "bcdfghklmn" for b in ("ane", "ilo", "urt", "ess")]

@@ -5,7 +5,9 @@ starts with the prefix, and the longest fitting rule decides. Every other url is
 host's reputation: bad outcomes of labelled pages are counted per host (before any shuffle), and
 a host's rate is shrunk to its registered domain's, that to its suffix's, that to the rate of
 all. The strengths of the two lower priors are beta-binomial, fitted by moments over all hosts and
-domains. A host is blocked when the lower posterior bound of its bad rate exceeds ``LIMIT``.
+domains. A host is blocked when the lower posterior bound of its bad rate exceeds ``LIMIT``. A host
+without labelled pages has its domain's rate, else its suffix's, else that of all, with the spread of
+every level it was backed off by.
 
 DataFrame functions only. Pages meet reputations by an equi-join on the host whose large
 side Spark may split, so a hot host does not land in one task.
@@ -81,28 +83,37 @@ def _strength(units: DataFrame, mean: str) -> DataFrame:
 
 
 def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """host, n, bad, posterior mean, lower bound and blocked, of hosts with labelled pages.
+    """host, n, bad, posterior mean, lower bound and blocked, of every host of pages.
 
     ``pages``: page_id, host. ``outcomes``: page_id, bad (0 or 1), one row per page.
     """
     seen = pages.join(outcomes, "page_id").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
     domain = domain_of(F.col("host"))
     hosts = seen.withColumn("domain", domain).withColumn("suffix", suffix_of(F.col("domain")))
-    total = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("overall"))
+    total = hosts.agg(
+        ((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("overall"), (F.count(F.lit(1)) > 0).alias("any_label")
+    )
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(total))
     suffixes = suffixes.select("suffix", ((F.col("bad") + SUFFIX_STRENGTH * F.col("overall")) / (F.col("n") + SUFFIX_STRENGTH)).alias("suffix_mean"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(suffixes, "suffix")
-    k = _strength(domains, "suffix_mean")
-    domains = domains.crossJoin(F.broadcast(k)).select(
-        "domain", ((F.col("bad") + F.col("strength") * F.col("suffix_mean")) / (F.col("n") + F.col("strength"))).alias("domain_mean")
+    of_domains = _strength(domains, "suffix_mean").withColumnRenamed("strength", "domain_strength")
+    domains = domains.crossJoin(F.broadcast(of_domains)).select(
+        "domain", ((F.col("bad") + F.col("domain_strength") * F.col("suffix_mean")) / (F.col("n") + F.col("domain_strength"))).alias("domain_mean")
     )
-    hosts = hosts.join(domains, "domain")
-    k = _strength(hosts, "domain_mean")
-    a = F.col("bad") + F.col("strength") * F.col("domain_mean")
-    mean = a / (F.col("n") + F.col("strength"))
-    low = F.col("mean") - SIGMAS * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("strength") + 1))
-    out = hosts.crossJoin(F.broadcast(k)).withColumn("mean", mean).withColumn("low", low)
-    return out.select("host", "n", "bad", "mean", "low", (F.round("low", 9) > F.lit(LIMIT)).alias("blocked"))
+    k = _strength(hosts.join(domains, "domain"), "domain_mean")
+    every = pages.select("host").distinct().withColumn("domain", domain).withColumn("suffix", suffix_of(F.col("domain")))
+    every = every.join(hosts.select("host", "n", "bad"), "host", "left").na.fill(0, ["n", "bad"]).join(domains, "domain", "left").join(suffixes, "suffix", "left")
+    for one_row in (total, of_domains, k):
+        every = every.crossJoin(F.broadcast(one_row))
+    prior = F.coalesce("domain_mean", "suffix_mean", "overall")
+    mean = (F.col("bad") + F.col("strength") * prior) / (F.col("n") + F.col("strength"))
+    # Of a rate's spread m (1 - m), each beta prior of a strength k leaves k / (k + 1) to the level above.
+    left = [F.when(known.isNull(), k / (k + 1)).otherwise(1.0) for known, k in ((F.col("domain_mean"), F.col("domain_strength")), (F.coalesce("domain_mean", "suffix_mean"), F.lit(SUFFIX_STRENGTH)))]
+    spread = 1 - F.col("strength") / (F.col("strength") + 1) * left[0] * left[1]
+    share = F.when(F.col("domain_mean").isNull(), spread).otherwise(1 / (F.col("n") + F.col("strength") + 1))
+    low = F.col("mean") - SIGMAS * F.sqrt(F.col("mean") * (1 - F.col("mean")) * share)
+    out = every.withColumn("mean", mean).withColumn("low", low)
+    return out.select("host", "n", "bad", "mean", "low", (F.col("any_label") & (F.round("low", 9) > F.lit(LIMIT))).alias("blocked"))
 
 
 def outcomes_of(labels: DataFrame) -> DataFrame:
