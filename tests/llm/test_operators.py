@@ -162,6 +162,32 @@ def test_media_round_trip(spark):
     assert list(zip(t, f, strict=True)) == sorted(zip(t, f, strict=True)) and t.max() > media.BLOCK
 
 
+def test_media_frames_overlap_and_pairs_reach_later_frames(spark):
+    rng = random.Random(9)
+    draw = lambda n: "".join(rng.choices("abcdefghij klmnopqrstuvwxyz.", k=n))
+    got = media.media_columns(docs(spark, ["", "a", "b"] + [draw(n) for n in range(1, 257, 5)]), keep_media=True).collect()
+    assert all(r["fingerprints"] for r in got) and len({r["feature"] for r in got}) >= len(got) - 2
+    assert len({r["feature"] for r in got if r["n_bytes"] >= 16}) == sum(r["n_bytes"] >= 16 for r in got)
+    text = draw(5000).encode()
+    t, f = media.spectral_peaks(text)
+    brute = []
+    for k in range(len(t)):
+        later = [j for j in range(k + 1, len(t)) if t[j] > t[k]][: media.FAN]
+        brute += [int(t[k]) << 24 | int(f[k]) << 16 | int(f[j]) << 8 | int(t[j] - t[k]) for j in later if t[j] - t[k] <= media.REACH]
+    assert media.fingerprints(t, f).tolist() == sorted(brute)
+    assert media.fingerprints(np.array([0, 0]), np.array([5, 13])).tolist() == [5 << 16, 13 << 16]
+    pairs = lambda x: Counter(h & 0xFFFFFF for h in media.fingerprints(*media.spectral_peaks(x)).tolist())
+    shared = [(pairs(text) & pairs(draw(s).encode() + text)).total() / pairs(text).total() for s in range(1, 255, 23)]
+    assert sum(shared) / len(shared) > 0.35
+    long = draw(media.HOP * (2 * media.BLOCK + 50)).encode()
+    whole = media.spectral_peaks(long)
+    block, media.BLOCK = media.BLOCK, 10**6
+    try:
+        assert [x.tolist() for x in whole] == [x.tolist() for x in media.spectral_peaks(long)]
+    finally:
+        media.BLOCK = block
+
+
 def test_packing_is_gapless_and_tight(spark, sf_dir):
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(5)

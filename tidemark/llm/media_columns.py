@@ -2,10 +2,12 @@
 
 A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are stored as 8-bit
 samples by the ``wave`` module, read back, cut into frames, Fourier-transformed, and the pairs of
-spectral peaks become time-coded hashes. Everything depends on the text alone: equal texts give
-equal media and features.
+spectral peaks become time-coded hashes. Frames overlap by three quarters and the first begins in
+silence, so every sample lies in four frames. Everything depends on the text alone: equal texts
+give equal media and features.
 
-Defined results: a null text is the empty one (64 zero samples, no peaks); very long texts are
+Defined results: a null text is the empty one (64 zero samples); a text whose peaks make no pair has
+its single peaks as hashes, with no second bin and no gap; very long texts are
 transformed in blocks of frames, so memory is bounded by the payload, not its spectrogram.
 """
 
@@ -18,15 +20,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_batches, table, texts_of
 
 UNIT, RATE = 64, 8000
-FRAME, HOP, BLOCK = 256, 256, 2048
+FRAME, HOP, BLOCK = 256, 64, 2048
+#: Silence before the first sample.
+LEAD = FRAME - HOP
 BANDS = ((4, 12), (12, 32), (32, 64), (64, 128))
-#: A peak is paired with this many following peaks at most this many frames later.
+#: A peak is paired with this many peaks of later frames, at most this many frames later.
 FAN, REACH = 3, 16
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
@@ -59,20 +64,23 @@ def spectral_peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     below that of the same band one frame earlier and above the one a frame later.
     """
     x = np.frombuffer(samples, np.uint8)
-    frames = max(1, -(-len(x) // HOP))
+    frames = -(-(len(x) + LEAD) // HOP)
     times, bins = [], []
     for lo in range(0, frames, BLOCK):
         hi = min(frames, lo + BLOCK)
         a, b = max(0, lo - 1), min(frames, hi + 1)
-        part = x[a * HOP : b * HOP].astype(np.float32)
-        part = np.pad(part, (0, (b - a) * HOP - len(part)), constant_values=128.0).reshape(-1, FRAME) - 128.0
-        level = np.abs(np.fft.rfft(part * _WINDOW, axis=1))
+        start, end = a * HOP - LEAD, (b - 1) * HOP + FRAME - LEAD
+        part = x[max(0, start) : end].astype(np.float32) - 128.0
+        before = max(0, -start)
+        part = np.pad(part, (before, end - start - before - len(part)))
+        spectrum = np.fft.rfft(sliding_window_view(part, FRAME)[::HOP] * _WINDOW, axis=1)
+        level = spectrum.real**2 + spectrum.imag**2
         for low, high in BANDS:
             best = level[:, low:high].argmax(1)
             top = level[np.arange(len(level)), low + best]
             before = np.concatenate([[-1.0], top[:-1]])
             after = np.concatenate([top[1:], [-1.0]])
-            hit = (top >= before) & (top > after) & (top > 1e-3)
+            hit = (top >= before) & (top > after) & (top > 1e-6)
             hit[: lo - a] = False
             hit[len(hit) - (b - hi) :] = False
             at = np.flatnonzero(hit)
@@ -84,13 +92,19 @@ def spectral_peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(t: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Time-coded pair hashes: frame << 24 | first bin << 16 | second bin << 8 | frames between."""
-    out = []
-    for k in range(1, FAN + 1):
-        gap = t[k:] - t[:-k]
-        ok = (gap > 0) & (gap <= REACH)
-        out.append((t[:-k][ok] << 24) | (f[:-k][ok] << 16) | (f[k:][ok] << 8) | gap[ok])
-    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+    """Time-coded pair hashes: frame << 24 | first bin << 16 | second bin << 8 | frames between.
+
+    Without a pair, each peak alone: frame << 24 | bin << 16.
+    """
+    out, later = [], np.searchsorted(t, t, "right")
+    for k in range(FAN):
+        at = np.flatnonzero(later + k < len(t))
+        to = later[at] + k
+        ok = t[to] - t[at] <= REACH
+        at, to = at[ok], to[ok]
+        out.append((t[at] << 24) | (f[at] << 16) | (f[to] << 8) | (t[to] - t[at]))
+    pairs = np.sort(np.concatenate(out))
+    return pairs if len(pairs) else (t << 24) | (f << 16)
 
 
 SCHEMA = (
