@@ -402,6 +402,18 @@ def test_toxicity_learns_from_documents(spark):
     assert empty[0]["score"] == 0.0 and tox.toxicity(docs(spark, []), labels).count() == 0
 
 
+def test_every_offending_sentence_is_located(spark):
+    weights = {"vileword": 9.0, "grim": 5.5}
+    texts = ["Fine words here. A vileword one. Calm again! VILEWORD twice? End.", "grim a. grim b. grim c.", "all calm. still calm.", "", None, "İ vileword."]
+    got = by_id(tox.scored(docs(spark, texts), weights, -6.0))
+    cut = {k: [texts[k][s["start"] : s["end"]] for s in got[k]["offending"]] for k in got}
+    assert cut == {0: [" A vileword one", " VILEWORD twice"], 1: ["grim a"], 2: [], 3: [], 4: [], 5: ["İ vileword"]}
+    assert got[1]["predicted"] == 1 and got[1]["worst_score"] < tox.OFFENDS and got[1]["offending"][0]["score"] == got[1]["worst_score"]
+    assert all(s["score"] >= tox.OFFENDS for s in got[0]["offending"])
+    untrained = by_id(tox.scored(docs(spark, texts), {}, -float("inf")))
+    assert all(r["offending"] == [] for r in untrained.values())
+
+
 def test_pipeline_against_its_parts(spark, sf_dir):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "quality", "near_duplicates", "personal_data", "packing"]

@@ -2,8 +2,8 @@
 
 A document is a bag of sentences. Each sentence scores ``sigmoid(bias + sum of its words'
 weights)``, where a word weighs as itself and by its first four and five letters, and the bag is toxic unless every sentence is clean (noisy-or). The weights are trained
-from document labels only, through the noisy-or, and the same weights then point at the sentence
-that carries the score.
+from document labels only, through the noisy-or, and the same weights then point at the offending
+sentences: all that score at least ``OFFENDS``, and in a document predicted toxic at least the top one.
 
 Training reads at most ``SAMPLE`` labelled documents of at most ``SAMPLE_CHARS`` characters each,
 taken in the order of a hash of their id among those whose crc32(doc_id as text) mod 5 is not 0;
@@ -32,6 +32,10 @@ SAMPLE, SAMPLE_CHARS = 6000, 20_000
 LEAST_DOCS, LEAST_Z, MOST_FEATURES = 3, 2.0, 4000
 STEPS, RATE, RIDGE = 150, 0.3, 0.01
 MEMO = 200_000
+#: A sentence of this score is offending.
+OFFENDS = 0.5
+#: A document of this score is predicted toxic.
+TOXIC = 0.5
 START_BIAS = -6.0
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -115,23 +119,29 @@ class WordWeights(dict):
         return total
 
 
-def score(text: str, weights: WordWeights, bias: float) -> tuple[float, int, int, float]:
-    """The document's noisy-or, and the span and score of its most suspicious sentence."""
+def score(text: str, weights: WordWeights, bias: float) -> tuple[float, int, int, float, list[tuple[int, int, float]]]:
+    """The document's noisy-or, the span and score of its most suspicious sentence, and all offending ones in order."""
     low = text.lower()
     if len(low) != len(text):  # a letter whose lower case is longer would shift the spans
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
     if bias == -math.inf:
-        return 0.0, -1, -1, 0.0
-    get, clean, worst = weights.__getitem__, 0.0, (-1, -1, -math.inf)
+        return 0.0, -1, -1, 0.0, []
+    get, clean, worst, offending = weights.__getitem__, 0.0, (-1, -1, -math.inf), []
+    least = math.log(OFFENDS / (1 - OFFENDS))
     for m in _SENTENCE.finditer(low):
         words = set(_WORD.findall(m[0]))
         if words:
             z = bias + sum(map(get, words))
             clean -= math.log1p(math.exp(min(z, 30.0)))
+            if z >= least:
+                offending.append((m.start(), m.end(), 1 / (1 + math.exp(-z))))
             if z > worst[2]:
                 worst = (m.start(), m.end(), z)
     a, b, z = worst
-    return -math.expm1(clean) if clean else 0.0, a, b, 1 / (1 + math.exp(-max(z, -700.0))) if a >= 0 else 0.0
+    total, top = -math.expm1(clean) if clean else 0.0, 1 / (1 + math.exp(-max(z, -700.0))) if a >= 0 else 0.0
+    if total >= TOXIC and not offending:
+        offending.append((a, b, top))
+    return total, a, b, top, offending
 
 
 def remainder(doc_id: str = "doc_id") -> F.Column:
@@ -150,19 +160,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
 
 
 def scored(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
-    """doc_id, score, predicted and the most suspicious sentence of every document."""
+    """doc_id, score, predicted, the most suspicious sentence and all offending ones of every document."""
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))  # at most MOST_FEATURES features
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = WordWeights(shared.value[0])
         found = [score(t, known, shared.value[1]) for t in texts_of(batch)]
         cols = [batch.column("doc_id"), pa.array([f[0] for f in found], pa.float64())]
-        cols += [pa.array([int(f[0] >= 0.5) for f in found], pa.int32())]
+        cols += [pa.array([int(f[0] >= TOXIC) for f in found], pa.int32())]
         cols += [pa.array([f[k] for f in found], pa.int64()) for k in (1, 2)]
         cols += [pa.array([f[3] for f in found], pa.float64())]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "predicted", "worst_start", "worst_end", "worst_score"])
-
-    schema = "doc_id bigint, score double, predicted int, worst_start bigint, worst_end bigint, worst_score double"
+        span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
+        cols += [pa.array([[dict(zip(("start", "end", "score"), x, strict=True)) for x in f[4]] for f in found], pa.list_(span))]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "predicted", "worst_start", "worst_end", "worst_score", "offending"])
+
+    schema = (
+        "doc_id bigint, score double, predicted int, worst_start bigint, worst_end bigint, worst_score double, "
+        "offending array<struct<start: bigint, end: bigint, score: double>>"
+    )
     return map_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), one, schema)
 
 
