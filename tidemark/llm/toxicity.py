@@ -1,16 +1,23 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. Each sentence scores ``sigmoid(bias + sum of its words'
-weights)``, where a word weighs as itself and by its first four and five letters, and the bag is toxic unless every sentence is clean (noisy-or). The weights are trained
-from document labels only, through the noisy-or, and the same weights then point at the offending
-sentences: all that score at least ``OFFENDS``, and in a document predicted toxic at least the top one.
+weights)``, where a word weighs as itself and by its first four and five letters, and the bag is
+toxic unless every sentence is clean (noisy-or). The weights are trained from document labels
+only, through the noisy-or, and the same weights then point at the offending sentences: all that
+score at least ``OFFENDS``, and in a document predicted toxic at least the top one.
+
+Noisy-or alone would make every long document toxic, as each clean sentence leaks a little. So the
+leak that as many clean sentences have (mean and ``SIGMAS`` standard errors, measured on the
+training sample's clean documents) is taken off a document's evidence before it becomes a
+score, and the scale of what remains is the one under which the training labels are likeliest.
 
 Training reads at most ``SAMPLE`` labelled documents of at most ``SAMPLE_CHARS`` characters each,
 taken in the order of a hash of their id among those whose crc32(doc_id as text) mod 5 is not 0;
 scoring reads every document whole. Labels, lang, source and doc_id never enter a score.
 
 Defined results: a null or empty text has no sentence and scores 0; without a usable label
-every document scores 0; repeated rows score alike; where labels repeat, the highest counts.
+every document scores 0; repeated rows score alike, and a null doc_id is not held out; where labels
+repeat, the highest counts; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,11 +25,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import map_batches, table, texts_of
 
@@ -37,6 +46,9 @@ OFFENDS = 0.5
 #: A document of this score is predicted toxic.
 TOXIC = 0.5
 START_BIAS = -6.0
+#: Standard errors of the clean leak that are taken off, and the scales tried for what remains.
+SIGMAS = 3.0
+SCALES = tuple(math.exp(k / 10) for k in range(-15, 16))
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -57,11 +69,43 @@ def features(word: str) -> tuple[str, ...]:
     return (word, *(f"{word[:k]}*" for k in (4, 5) if len(word) >= k))
 
 
-def train(texts: list[str], labels: list[int]) -> tuple[dict[str, float], float]:
+class WordWeights(dict):
+    """A word's weight over all its features, remembered."""
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        total = sum(self.weights.get(f, 0.0) for f in features(word))
+        if len(self) >= MEMO:
+            self.clear()
+        if len(word) <= 32:
+            self[word] = total
+        return total
+
+
+@dataclass(frozen=True)
+class Model:
+    """``leak``: mean and variance of a clean sentence's evidence. An untrained model has the bias -inf."""
+
+    words: WordWeights
+    bias: float = -math.inf
+    leak: tuple[float, float] = (0.0, 0.0)
+    scale: float = 1.0
+
+    def evidence(self, total: float, n: int) -> float:
+        """What ``n`` sentences show together beyond the leak of as many clean ones."""
+        return max(0.0, total - self.leak[0] * n - SIGMAS * math.sqrt(self.leak[1] * n))
+
+    def probability(self, total: float, n: int) -> float:
+        return -math.expm1(-self.scale * self.evidence(total, n))
+
+
+def train(texts: list[str], labels: list[int]) -> Model:
     """Word weights and bias that maximise the noisy-or likelihood of the document labels."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
-        return {}, -math.inf
+        return Model(WordWeights({}))
     bags = [bag(t) for t in texts]
     with_, toxic_with = Counter(), Counter()
     for b, label in zip(bags, labels, strict=True):
@@ -101,71 +145,66 @@ def train(texts: list[str], labels: list[int]) -> tuple[dict[str, float], float]
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
         weights += RATE * (m / c1) / (np.sqrt(v / c2) + 1e-3)
         bias += 0.05 * (mb / c1) / (math.sqrt(vb / c2) + 1e-3)
-    return {w: float(weights[k]) for w, k in vocabulary.items() if abs(weights[k]) > 1e-2}, float(bias)
-
-
-class WordWeights(dict):
-    """A word's weight over all its features, remembered."""
-
-    def __init__(self, weights: dict[str, float]) -> None:
-        self.weights = weights
-
-    def __missing__(self, word: str) -> float:
-        total = sum(self.weights.get(f, 0.0) for f in features(word))
-        if len(self) >= MEMO:
-            self.clear()
-        if len(word) <= 32:
-            self[word] = total
-        return total
-
-
-def score(text: str, weights: WordWeights, bias: float) -> tuple[float, int, int, float, list[tuple[int, int, float]]]:
-    """The document's noisy-or, the span and score of its most suspicious sentence, and all offending ones in order."""
+    kept = np.abs(weights) > 1e-2
+    z = np.clip(bias + np.bincount(row, (weights * kept)[col], n), -30, 30)
+    part = np.logaddexp(0, z)
+    clean = part[y[doc] == 0]
+    leak = (float(clean.mean()), float(clean.var())) if len(clean) else (0.0, 0.0)
+    model = Model(WordWeights({w: float(weights[k]) for w, k in vocabulary.items() if kept[k]}), float(bias), leak)
+    sums, sizes = np.bincount(doc, part, len(y)), np.bincount(doc, minlength=len(y))
+    shown = np.array([model.evidence(t, int(k)) for t, k in zip(sums, sizes, strict=True)])
+    likelihood = [np.log(np.maximum(-np.expm1(-c * shown[y == 1]), 1e-6)).sum() - c * shown[y == 0].sum() for c in SCALES]
+    return replace(model, scale=SCALES[int(np.argmax(likelihood))])
+
+
+def score(text: str, model: Model) -> tuple[float, int, int, float, list[tuple[int, int, float]]]:
+    """The document's score, the span and score of its most suspicious sentence, and all offending ones in order."""
     low = text.lower()
     if len(low) != len(text):  # a letter whose lower case is longer would shift the spans
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    bias = model.bias
     if bias == -math.inf:
         return 0.0, -1, -1, 0.0, []
-    get, clean, worst, offending = weights.__getitem__, 0.0, (-1, -1, -math.inf), []
+    get, total, n, worst, offending = model.words.__getitem__, 0.0, 0, (-1, -1, -math.inf), []
     least = math.log(OFFENDS / (1 - OFFENDS))
     for m in _SENTENCE.finditer(low):
         words = set(_WORD.findall(m[0]))
         if words:
             z = bias + sum(map(get, words))
-            clean -= math.log1p(math.exp(min(z, 30.0)))
+            total += math.log1p(math.exp(min(z, 30.0)))
+            n += 1
             if z >= least:
                 offending.append((m.start(), m.end(), 1 / (1 + math.exp(-z))))
             if z > worst[2]:
                 worst = (m.start(), m.end(), z)
     a, b, z = worst
-    total, top = -math.expm1(clean) if clean else 0.0, 1 / (1 + math.exp(-max(z, -700.0))) if a >= 0 else 0.0
-    if total >= TOXIC and not offending:
+    found, top = model.probability(total, n), 1 / (1 + math.exp(-max(z, -700.0))) if a >= 0 else 0.0
+    if found >= TOXIC and not offending:
         offending.append((a, b, top))
-    return total, a, b, top, offending
+    return found, a, b, top, offending
 
 
 def remainder(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
-    """Train on the bounded sample. Only its ids, at most ``SAMPLE``, are broadcast."""
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Train on the bounded sample. Only its ids, at most ``SAMPLE``, are broadcast, and at most as many
+    rows reach the driver, however often an id is repeated."""
     known = labels.where(F.col("toxic").isNotNull() & (remainder() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     fits = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id", "text")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = fits.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    texts, toxic = rows["text"].to_pylist(), rows["toxic"].to_pylist()
-    return train([texts[k] for k in order], [int(toxic[k] > 0) for k in order])
+    rows = fits.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE).toArrow()
+    return train(rows["text"].to_pylist(), [int(t > 0) for t in rows["toxic"].to_pylist()])
 
 
-def scored(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
+def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted, the most suspicious sentence and all offending ones of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast((weights, bias))  # at most MOST_FEATURES features
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES features
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known = WordWeights(shared.value[0])
-        found = [score(t, known, shared.value[1]) for t in texts_of(batch)]
+        found = [score(t, shared.value) for t in texts_of(batch)]  # a worker keeps the model, and its words' weights
         cols = [batch.column("doc_id"), pa.array([f[0] for f in found], pa.float64())]
         cols += [pa.array([int(f[0] >= TOXIC) for f in found], pa.int32())]
         cols += [pa.array([f[k] for f in found], pa.int64()) for k in (1, 2)]
@@ -182,9 +221,19 @@ def scored(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    out = scored(docs, *fit(docs, labels))
+    out = scored(docs, fit(docs, labels))
     return out.withColumn("held_out", F.coalesce(remainder() == 0, F.lit(False)))
 
 
+def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that are not predicted toxic: each row by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([score(t, shared.value)[0] < TOXIC for t in texts_of(batch)], pa.bool_()))
+
+    return map_batches(docs, one, T.StructType(docs.schema.fields))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
