@@ -3,16 +3,16 @@
 A document is its token ids followed by one separator id; longer ones than a sequence are cut
 into full pieces, of which the first may be shorter. Pieces go into sequences of ``size`` tokens by
 the sum-of-squares rule: a piece goes where the squared counts of open sequences per residual
-gap become smallest.
+gap become smallest. Pieces are placed one by one, from the longest down.
 
-The rule sees lengths only, so it is run on the driver over the histogram of lengths (at most
-``size`` numbers, whatever the corpus) in moves of whole blocks of equal pieces between sequences
-with equal gaps; ``blocks`` bounds the moves a length may take, and so bounds the plan. Which
-piece stands where follows from its rank among the pieces of its length; ranks are computed in
-``BUCKETS`` independent parts of each length, so that no length can overload one task.
+The pieces are dealt, by a hash of their row, into parts of about ``PART`` pieces, and every part is
+packed on its own in a task of its own; so the work is spread evenly whatever the lengths or ids are,
+a task's memory is bounded, and the rule is the same at every size. A part ends 0 to 3 sequences above
+the fewest that could hold it, which is what the parts cost.
 
 Defined results: a null or empty text is a lone separator; repeated rows are packed as separate
-documents (equal ids, own places); an empty table gives no sequence.
+documents (equal ids, own places), those without a doc_id too; an empty table gives no sequence; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -20,23 +20,22 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from collections import deque
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.common import map_batches, table, texts_of, written
+from tidemark.shipping import ship
 
 SIZE, SEPARATOR = 2048, 0
-BUCKETS = 1024
-#: Moves that one length may take at most; a length with fewer pieces is placed piece by piece.
-BLOCKS = 256
+#: Pieces of a part, about. A part's sequences are numbered from its own multiple of ``STRIDE``.
+PART, STRIDE = 32_768, 1 << 32
 SPECIAL = {"<|endoftext|>": 50256}
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -86,7 +85,7 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str, size: int = SIZE, w
                 doc.append(d)
                 rows.append((p, start, length, zlib.crc32(part)))
                 if with_ids:
-                    ids_out.append(np.frombuffer(part, "<u4").astype(np.int64).tolist())
+                    ids_out.append(np.frombuffer(part, "<u4").astype(np.int64))
         cols = [pa.array(doc, pa.int64())]
         cols += [pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.int64()) for k in range(4)]
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -99,94 +98,73 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str, size: int = SIZE, w
     return map_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), one, schema)
 
 
-def plan(histogram: dict[int, int], size: int = SIZE, blocks: int = BLOCKS) -> np.ndarray:
-    """Rows (length, first rank, first sequence, offset): the sum-of-squares packing of a histogram.
+def places(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of every piece: the sum-of-squares rule, piece by piece from the longest down.
 
-    Lengths are placed from the longest down, and a sequence is begun only where no open one has
-    room: measured, that leaves 0 to 3 sequences above the lower bound, where weighing an
-    untouched sequence like any other leaves 0.3 to 0.5 %. In a row, the piece of rank ``first rank + k`` goes
-    to sequence ``first sequence + k``, up to the next row of that length.
+    A sequence is begun only where no open one has room: measured, that leaves 0 to 3 sequences above
+    the lower bound, where weighing an untouched sequence like any other leaves 0.3 to 0.5 %.
+    Among equally good gaps the one that leaves least room is taken.
     """
-    open_at = np.zeros(size + 1, np.int64)  # open sequences by gap
-    ranges: list[deque] = [deque() for _ in range(size + 1)]  # (first sequence, count) by gap
-    rows: list[tuple[int, int, int, int]] = []
+    order = np.argsort(-lengths, kind="stable")
+    sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    open_at = np.zeros(size + 1, np.int64)  # open sequences by gap; full ones count nothing
+    stacks: list[list[int]] = [[] for _ in range(size + 1)]
     fresh = 0
-    for length in sorted(histogram, reverse=True):
-        left, rank = histogram[length], 0
-        step = max(1, -(-left // blocks))
-        while left:
-            # Growth of the sum of squares for each gap that fits; a full sequence counts nothing.
-            after = open_at[: size - length + 1] * 2 + 1
-            after[0] = 0
-            grows = after - (2 * open_at[length:] - 1)
-            grows[size - length] = after[size - length]  # a new sequence leaves no old gap
-            usable = open_at[length:] > 0  # the gap of an untouched sequence is never counted as open
-            usable[size - length] = not usable.any()
-            pick = int(np.where(usable, grows, np.iinfo(np.int64).max).argmin())
-            held = open_at[pick + length] if pick != size - length else left
-            todo = int(min(step, left, held))
-            gap = pick + length
-            while todo:
-                if gap == size:
-                    first, n = fresh, todo
-                    fresh += n
-                else:
-                    first, n = ranges[gap].popleft()
-                    if n > todo:
-                        ranges[gap].appendleft((first + todo, n - todo))
-                        n = todo
-                    open_at[gap] -= n
-                rows.append((length, rank, first, size - gap))
-                if pick:
-                    open_at[pick] += n
-                    ranges[pick].append((first, n))
-                rank, left, todo = rank + n, left - n, todo - n
-    return np.array(rows, np.int64).reshape(-1, 4)
-
-
-def pack(cut_pieces: DataFrame, size: int = SIZE, blocks: int = BLOCKS) -> DataFrame:
-    """Add sequence_id and offset to pieces; the input must be cheap to read again (written)."""
-    lengths = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = plan(lengths, size, blocks)
-    order = np.lexsort((rows[:, 1], rows[:, 0])) if len(rows) else np.zeros(0, int)
-    rows = rows[order]
-    span = max(lengths.values(), default=0) + 1
-    keys = rows[:, 0] * span + rows[:, 1]
-
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS))
-    placed = cut_pieces.withColumn("part", part)
-    counted = placed.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = placed.withColumn("nth", F.row_number().over(within) - 1).join(counted, ["length", "part"])
-    ranked = ranked.withColumn("rank", F.col("base") + F.col("nth")).drop("part", "base", "nth")
-
-    names = [c for c in cut_pieces.columns]
-
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, r = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
-        at = np.searchsorted(keys, n * span + r, side="right") - 1
-        got = rows[at]
-        cols = [batch.column(c) for c in names]
-        cols += [pa.array(got[:, 2] + r - got[:, 1], pa.int64()), pa.array(got[:, 3], pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, [*names, "sequence_id", "offset"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema) + ", sequence_id bigint, offset bigint"
-    cut_pieces.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    cuts = np.flatnonzero(np.diff(lengths[order], prepend=-1))
+    for first, last in zip(cuts, np.append(cuts, len(order))[1:], strict=True):
+        length = int(lengths[order[first]])
+        # Growth of the sum of squares by the gap that would be left; never, where no open sequence has that room.
+        held = open_at[length:size]
+        grows = 2 * open_at[: size - length] - 2 * held + 2
+        grows[:1] = 1 - 2 * held[:1]  # a full sequence is not counted
+        usable = np.where(held > 0, grows, _NEVER)
+        for k in order[first:last].tolist():
+            left = int(usable.argmin()) if size > length else 0
+            if size == length or usable[left] == _NEVER:
+                left, gap = size - length, size
+                sequence[k], fresh = fresh, fresh + 1
+            else:
+                gap = left + length
+                sequence[k] = stacks[gap].pop()
+                open_at[gap] -= 1
+            offset[k] = size - gap
+            if left:
+                open_at[left] += 1
+                stacks[left].append(int(sequence[k]))
+            for g in {left, gap, left + length, gap + length, left - length, gap - length}:
+                # The gap left g (source g + length) is weighed anew where either of its counts has changed.
+                if 0 <= g < size - length:
+                    n = open_at[g + length]
+                    usable[g] = (2 * open_at[g] + 1 if g else 0) - 2 * n + 1 if n else _NEVER
+    return sequence, offset
+
+
+_NEVER = np.iinfo(np.int64).max
+
+
+def pack(cut_pieces: DataFrame, size: int = SIZE, part: int = PART) -> DataFrame:
+    """Add sequence_id and offset to pieces; the input must be a written table, with a unique column ``row``.
+
+    Only row and length travel to the packing tasks, and only places travel back.
+    """
+    parts = max(1, -(-cut_pieces.count() // part))
+    ship(cut_pieces.sparkSession)
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield one(batch)
+    def one(group: pa.Table) -> pa.Table:
+        group = group.sort_by("row")
+        sequence, offset = places(group["length"].to_numpy(), size)
+        base = group["part"][0].as_py() * STRIDE
+        return pa.table({"row": group["row"], "sequence_id": pa.array(base + sequence), "offset": pa.array(offset)})
 
-    return ranked.select(*names, "rank").mapInArrow(run, schema)
+    dealt = cut_pieces.select("row", "length", F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part"))
+    placed = dealt.groupBy("part").applyInArrow(one, "row bigint, sequence_id bigint, offset bigint")
+    return cut_pieces.join(placed, "row").drop("row")
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str = "byte_bpe_50k", size: int = SIZE) -> DataFrame:
-    """Every piece of every document with its place."""
-    made = pieces(docs, public_tokenizers.path(f"{tokenizer}.json"), public_tokenizers.path(f"{tokenizer}.tiktoken"), size)
-    return pack(written(made, "pieces"), size)
+def best_fit_packing(docs: DataFrame, tokenizer: str = "byte_bpe_50k", size: int = SIZE, with_ids: bool = False) -> DataFrame:
+    """Every piece of every document with its place, and with its ids on demand."""
+    made = pieces(docs, public_tokenizers.path(f"{tokenizer}.json"), public_tokenizers.path(f"{tokenizer}.tiktoken"), size, with_ids)
+    return pack(written(made.withColumn("row", F.monotonically_increasing_id()), "pieces"), size)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
