@@ -9,14 +9,19 @@ pair at the threshold is missed with a chance below ``MISS``.
 
 Exact copies (equal sets) become one class first. In each bucket the member that shares most
 buckets with others is the centre, and every other member is compared with it alone (a star, not
-all pairs). Links are confirmed on full sets and joined into components; then only members that
-are not in their centre's component meet the rest of their bucket, sieved by set size and one-bit
-sketches with a bound of ``SIEVE`` standard errors. So no pair that could link two components is
-left out and no group is gathered in one task.
+all pairs), sieved by set size and one-bit sketches with a bound of ``SIEVE`` standard errors. Links are
+confirmed on full sets and joined into components. Then only members outside their centre's component
+may still link to the rest of their bucket; :func:`remaining_links` finds every such pair by the
+elements in which both differ from what most of the family has. So no pair that could link
+two components is left out, no group is gathered in one task, and no pair is written down that
+shares none of its rarest differences.
 
 Defined results: a null or empty text, or one without words, has an empty set, links with nothing
 and is kept; a text with fewer words than a shingle is one shingle; repeated rows are copies
-of one another; rows that share a doc_id count as one document.
+of one another. Every row is judged by its own text, also where rows share a doc_id or have none; a
+component's id is its smallest doc_id that is not null, and ``chosen`` marks its one
+(doc_id, text), by doc_id with nulls last, then by the text's hash. An empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,14 +31,12 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_batches, table, texts_of, written
 
 SLOTS, MISS, SIEVE = 252, 1e-7, 5.5
-#: Members and bytes of sets in a block, and columns of the dense matrix two blocks are compared in.
-BLOCK, BLOCK_BYTES, COLUMNS = 64, 2 << 20, 8192
 _LOW = np.uint64((1 << 40) - 1)
 _ROUND = np.arange(2 * SLOTS, dtype=np.uint64)
 
@@ -92,7 +95,7 @@ def most_differing_bits(threshold: float) -> int:
 
 
 def signatures(docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys and the one-bit sketch of every document."""
+    """doc_id, hash of the text, n_shingles, digest of the set, band keys and the one-bit sketch of every document."""
     rows = rows_per_band(threshold)
     bands = SLOTS // rows
 
@@ -116,12 +119,17 @@ def signatures(docs: DataFrame, width: int, threshold: float) -> DataFrame:
             odd = np.zeros(256, np.uint8)
             odd[:SLOTS] = s & np.uint64(1)
             bits.append(np.packbits(odd).view(np.int64).tolist())
-        cols = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        cols = [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
         cols += [pa.array([b[k] for b in bits], pa.int64()) for k in range(4)]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "digest", "bands", "b0", "b1", "b2", "b3"])
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "n_shingles", "digest", "bands", "b0", "b1", "b2", "b3"])
 
-    schema = "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
-    return map_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), one, schema)
+    schema = "doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, bands array<bigint>, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
+    return map_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), text_hash().alias("text_hash")), one, schema)
+
+
+def text_hash() -> Column:
+    """Tells the texts of rows with one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def may_link(left: str, right: str, percent: int) -> Column:
@@ -132,14 +140,15 @@ def may_link(left: str, right: str, percent: int) -> Column:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id and whole shingle set (64-bit words, sorted) of the documents in ``ids``."""
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string")).join(ids, "id", "left_semi")
+    """id and whole shingle set (64-bit words) of the documents in ``ids``: id, doc_id, text_hash."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("__d"), text_hash().alias("__h"), F.col("text").cast("string"))
+    chosen = texts.join(ids, F.col("__d").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.col("text_hash")))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [shingles(t, width).tobytes() for t in texts_of(batch)]
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(got, pa.binary())], ["id", "items"])
+        got = [shingles(t, width).view(np.int64) for t in texts_of(batch)]
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(got, pa.list_(pa.int64()))], ["id", "items"])
 
-    return map_batches(chosen, one, "id bigint, items binary").dropDuplicates(["id"])
+    return map_batches(chosen.select("id", "text").dropDuplicates(["id"]), one, "id bigint, items array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -150,7 +159,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for x, y in zip(batch.column("items_a"), batch.column("items_b"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            x, y = x.values.to_numpy(), y.values.to_numpy()
             merged = np.sort(np.concatenate([x, y]), kind="stable")
             common = int((merged[1:] == merged[:-1]).sum())
             keep.append(100 * common >= percent * (len(x) + len(y) - common))
@@ -159,58 +168,58 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(both, one, "a bigint, b bigint")
 
 
-def block_links(left: list[dict], right: list[dict], percent: int) -> list[tuple[int, int]]:
-    """Confirmed links between two blocks of (id, own, items): one for each left id and right component."""
-    sets = [np.frombuffer(m["items"], np.uint64) for m in (*left, *right)]
-    sizes = np.array([len(x) for x in sets])
-    rows = np.repeat(np.arange(len(sets)), sizes)
-    _, cols = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(cols, kind="stable")
-    rows, cols = rows[order], cols[order]
-    n, common = len(left), np.zeros((len(left), len(right)), np.float64)
-    for low in range(0, int(cols[-1]) + 1 if len(cols) else 0, COLUMNS):
-        a, b = np.searchsorted(cols, [low, low + COLUMNS])
-        dense = np.zeros((len(sets), min(COLUMNS, int(cols[b - 1]) - low + 1)), np.float32)
-        dense[rows[a:b], cols[a:b] - low] = 1
-        common += dense[:n] @ dense[n:].T
-    linked = 100 * common >= percent * (sizes[:n, None] + sizes[None, n:] - common)
-    own = [np.array([m["own"] for m in side], np.int64) for side in (left, right)]
-    linked &= own[0][:, None] != own[1][None, :]
-    found: dict[tuple[int, int], int] = {}
-    for x, y in zip(*np.nonzero(linked), strict=True):
-        found.setdefault((left[x]["id"], int(own[1][y])), right[y]["id"])
-    return [(x, y) for (x, _), y in found.items()]
-
-
-def family_links(marked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between members of a family whose components differ.
-
-    ``marked``: id, own component, family (the component of a centre whose bucket it is in). Members
-    of other components meet all of the family, block against block: a block has about ``BLOCK``
-    members or ``BLOCK_BYTES`` of sets, blocks meet in tasks of their own, and only links leave a task.
-    """
-    sized = sets.select("id", F.length("items").alias("bytes"))
-    totals = marked.join(sized, "id").groupBy("family").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"),
-        F.max(F.col("own") != F.col("family")).alias("open"),
-    )
-    placed = marked.join(totals.where("open").drop("open"), "family")
-    placed = written(placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks"), "placed")
-    whole = placed.join(sets, "id").groupBy("family", "block").agg(F.collect_list(F.struct("id", "own", "items")).alias("members"))
-    whole = written(whole, "blocks")
-    apart = placed.where("own <> family").select("family", F.col("block").alias("x")).distinct()
-    meets = apart.join(placed.select("family", F.col("block").alias("y")).distinct(), "family")
-    left = whole.select("family", F.col("block").alias("x"), F.filter("members", lambda m: m["own"] != F.col("family")).alias("apart"))
-    right = whole.select("family", F.col("block").alias("y"), "members")
-    both = meets.join(left, ["family", "x"]).join(right, ["family", "y"]).select("apart", "members")
+def remaining_links(marked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between members of a family whose components differ: all that matter.
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        links: list[tuple[int, int]] = []
-        for k in range(batch.num_rows):
-            links += block_links(batch.column("apart")[k].as_py(), batch.column("members")[k].as_py(), percent)
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+    ``marked``: id, own component, family (the component of a centre whose bucket it is in). What most
+    members of a family have is its common set C; a member x is known by its difference D(x) to C,
+    and two members differ by ``d(x) + d(y) - 2 |D(x) & D(y)|`` elements. So with
+    ``slack(x) = (100 - p) |x| - (100 + p) d(x)``, x and y link just where
+    ``2 (100 + p) |D(x) & D(y)| >= -(slack(x) + slack(y))``.
 
-    return map_batches(both, one, "a bigint, b bigint", rows=4)
+    Where the right side is not positive they link whatever they share: a star around the member of
+    most slack joins all of those. Every other pair must share one of the elements with which each
+    begins when D is ordered from the rarest in the family on (as many as leave too few behind); only
+    members outside the star's component look for partners, and only pairs found are verified.
+    """
+    p, q = 100 - percent, 100 + percent
+    totals = marked.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.max(F.col("own") != F.col("family")).alias("open"))
+    open_ = marked.join(totals.where("open").drop("open"), "family").join(sets, "id")
+    open_ = written(open_.select("family", "members", "id", "own", "items"), "families")
+
+    # Elements by family: how many members have them, so which of them are common.
+    counted = open_.select("family", "members", F.explode("items").alias("e")).groupBy("family", "e").agg(F.count(F.lit(1)).alias("n"), F.max("members").alias("members"))
+    counted = written(counted.where("n > 1").withColumn("common", 2 * F.col("n") > F.col("members")), "elements")
+    common = counted.where("common").groupBy("family").agg(F.collect_list("e").alias("c"))
+    shared = counted.select("family", "e", F.when(F.col("common"), F.col("members") - F.col("n")).otherwise(F.col("n")).alias("rare")).where("rare > 1")
+
+    c = F.coalesce("c", F.array().cast("array<bigint>"))
+    apart = open_.join(common, "family", "left").withColumn("d", F.concat(F.array_except("items", c), F.array_except(c, F.col("items"))))
+    slack = p * F.size("items").cast("bigint") - q * F.size("d").cast("bigint")
+    apart = written(apart.select("family", "id", "own", F.size("items").alias("n_items"), slack.alias("slack"), "d"), "differences")
+    hubs = apart.groupBy("family").agg(F.max_by(F.struct("id", "own", "slack"), F.struct("slack", -F.col("id"))).alias("hub"))
+    seen = apart.join(hubs, "family")
+    certain = (F.col("slack") + F.col("hub.slack") >= 0) & (F.col("own") != F.col("hub.own"))
+    star = seen.where(certain).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+    seen = seen.withColumn("own", F.when(certain, F.col("hub.own")).otherwise(F.col("own"))).withColumn("seeks", F.col("own") != F.col("hub.own"))
+    seen = written(seen.select("family", "id", "own", "n_items", "slack", "d", "seeks", F.col("hub.slack").alias("most")), "seekers")
+    most = seen.where("seeks").groupBy("family").agg(F.max("slack").alias("most_seeking"))
+
+    # Every difference with its place in the order; unshared ones come first and need no row.
+    placed = seen.join(most, "family").select("*", F.size("d").alias("n_d"), F.explode("d").alias("e")).drop("d").join(shared, ["family", "e"])
+    by_rarity = Window.partitionBy("family", "id").orderBy("rare", "e")
+    whole = Window.partitionBy("family", "id")
+    placed = placed.withColumn("left", F.row_number().over(by_rarity) - 1 + F.col("n_d") - F.count(F.lit(1)).over(whole))
+    placed = placed.withColumn("left", (2 * q) * (F.col("n_d") - F.col("left")))
+    # The best partner there could be must still be within reach of what is left.
+    reach = F.when(F.col("seeks"), F.col("most")).otherwise(F.col("most_seeking"))
+    placed = written(placed.where(-F.col("slack") - reach <= F.col("left")).select("family", "e", "id", "own", "n_items", "slack", "left", "seeks"), "places")
+    x, y = placed.where("seeks").alias("x"), placed.alias("y")
+    meet = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.own") != F.col("y.own")) & (
+        -F.col("x.slack") - F.col("y.slack") <= F.least("x.left", "y.left")
+    ) & (100 * F.least("x.n_items", "y.n_items") >= percent * F.greatest("x.n_items", "y.n_items")))
+    pairs = written(meet.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "pairs")
+    return confirmed(pairs, sets, percent).unionByName(star)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -239,14 +248,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+    """doc_id, n_shingles, component_id, kept, text_hash and chosen of every document."""
     threshold = percent / 100
-    sig = written(signatures(docs, width, threshold), "signatures")
-    classes = written(sig.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
-    first = sig.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").where("n_shingles > 0")
+    sig = written(signatures(docs, width, threshold).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("low")
+    classes = written(sig.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("copies"), low), "classes")
+    first = sig.withColumnRenamed("row", "id").join(classes.select("id"), "id", "left_semi")
     brief = ["id", "n_shingles", "b0", "b1", "b2", "b3"]
-    bits = written(first.withColumnRenamed("doc_id", "id").dropDuplicates(["id", "digest"]).select(*brief, "bands"), "sketches")
-    keys = bits.select("id", F.explode("bands").alias("key"))
+    bits = written(first.select(*brief, "doc_id", "text_hash", "bands"), "sketches")
+    keys, places = bits.select("id", F.explode("bands").alias("key")), bits.select("id", "doc_id", "text_hash")
     bits = bits.select(*brief)
 
     # Buckets of two or more, and each one's centre.
@@ -259,27 +269,45 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     star = member.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     near = star.join(bits.alias("x"), F.col("a") == F.col("x.id")).join(bits.alias("y"), F.col("b") == F.col("y.id"))
     star = written(near.where(may_link("x", "y", percent)).select("a", "b"), "star")
-    sets = written(sets_of(docs, member.select("id").distinct(), width), "sets")
+    sets = written(sets_of(docs, places.join(member.select("id").distinct(), "id", "left_semi"), width), "sets")
     links = written(confirmed(star, sets, percent), "links")
     labels = components(links)
 
-    # Members outside their centre's component meet that component and one another.
+    # Members outside their centre's component may link to that component and to one another.
     of_id = labels.select("id", F.col("label").alias("own"))
     of_centre = labels.select(F.col("id").alias("centre"), F.col("label").alias("family"))
     marked = member.join(of_id, "id", "left").join(of_centre, "centre", "left")
     marked = marked.select("id", F.coalesce("own", "id").alias("own"), F.coalesce("family", "centre").alias("family")).distinct()
-    more = written(family_links(written(marked, "families"), sets, percent), "links")
+    more = written(remaining_links(written(marked, "marked"), sets, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    named = classes.join(labels, "id", "left").where("copies > 1 or label is not null")
-    named = named.select("digest", F.coalesce("label", "id").alias("label"))
-    out = sig.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = classes.join(labels, "id", "left").where("copies > 1 or label is not null").select("digest", "low", F.coalesce("label", "id").alias("label"))
+    named = named.select("digest", "label").join(named.groupBy("label").agg(F.min("low").alias("low")), "label").drop("label")
+    out = sig.select("doc_id", "n_shingles", "text_hash", "digest").join(named, "digest", "left")
+    alone = F.col("low").isNull()
+    chosen = alone | (F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("text_hash") == F.col("low.text_hash")))
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("low.doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", chosen.alias("chosen"))
+
+
+def unique_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that stay: of each component one, and every row without words.
+
+    Of rows that repeat both doc_id and text any one stays.
+    """
+    stay = near_duplicates(docs, width, percent).where("chosen").groupBy("doc_id", "text_hash")
+    stay = stay.agg(((F.count(F.lit(1)) > 1) & (F.max("n_shingles") > 0)).alias("__again"))
+    stay = stay.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__again")
+    whole = docs.withColumn("__own", text_hash())
+    whole = whole.join(stay, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")))
+    once = whole.where("not __again").unionByName(whole.where("__again").dropDuplicates(["__id", "__hash"]))
+    return once.select(docs.columns)
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP5_SQL = r"""
