@@ -7,8 +7,8 @@ share of good documents, and a document is kept when its posterior probability o
 reaches ``threshold``. The hard base rules (too few words, too repetitive) reject on their own.
 
 Defined results: a null or empty text has no words, fails the base rule and is rejected; repeated
-rows are judged one by one and alike; an empty table gives an empty result; extra columns pass
-through ``apply_rules`` untouched.
+rows are judged one by one and alike, with or without a doc_id; an empty table gives an empty result;
+other columns are not read, and :func:`good_documents` hands them on untouched.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import map_batches, table, texts_of, written
 
@@ -37,7 +38,10 @@ RULES: tuple[tuple[str, object, object], ...] = (
     ("vocabulary", lambda m: m["n_distinct"] < 0.15 * m["n_words"], lambda m: m["n_distinct"] > 0.3 * np.sqrt(m["n_words"] * 10)),
 )
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_UPPER = {c: None for c in range(0x41, 0x5B)}
+#: First bytes of UTF-8 characters that are letters, by and large: of those beyond ASCII not Latin-1's signs
+#: (C2), punctuation and symbols (E2), presentation forms (EF) and the planes of emoji (F0 and above).
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xE2), *range(0xE3, 0xEF)]] = True
 
 
 class _Ids(defaultdict):
@@ -98,7 +102,7 @@ def measures(text: str) -> dict[str, int]:
         "n_repeat_words": repeat_words(ids, len(ids_of)),
         "n_lines": n_lines,
         "n_upper": upper,
-        "n_letters": upper + int(kinds[97:123].sum() + kinds[0xC3:0xF5].sum()),
+        "n_letters": int(kinds[_LETTERS].sum()),
         "n_bangs": int(kinds[33]),
         "n_bars": int(kinds[124]),
         "n_distinct": len(ids_of),
@@ -133,6 +137,17 @@ def measured(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), one, schema)
 
 
+def no_worse_than_chance(weights: np.ndarray) -> np.ndarray:
+    """Vote probabilities by (bad or good, rule, vote). Where documents of the other kind would get a vote more
+    often than those it speaks for, both kinds get it equally often, so that labels cannot switch."""
+    share = weights / weights.sum(2, keepdims=True)
+    pooled = weights.sum(0) / weights.sum((0, 2))[:, None]
+    for vote_, kind in ((1, 1), (2, 0)):
+        turned = share[kind, :, vote_] < share[1 - kind, :, vote_]
+        share[:, turned, vote_] = pooled[turned, vote_]
+    return share / share.sum(2, keepdims=True)
+
+
 def fit(counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
     """Expectation-maximisation over vote patterns: pattern -> posterior probability of good."""
     if not counts:
@@ -147,9 +162,7 @@ def fit(counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
     for _ in range(rounds):
         w = np.stack([1 - post, post]) * n
         share = w.sum(1) / w.sum()
-        table_ = np.einsum("yp,prv->yrv", w, hot) + np.array([1.0, 0.2, 1.0])[None, None, :]
-        # A rule is never worse than chance: good votes lean to good, bad votes to bad documents.
-        table_ /= table_.sum(2, keepdims=True)
+        table_ = no_worse_than_chance(np.einsum("yp,prv->yrv", w, hot) + np.array([1.0, 0.2, 1.0])[None, None, :])
         like = np.einsum("prv,yrv->yp", hot, np.log(table_)) + np.log(np.maximum(share, 1e-9))[:, None]
         new = 1 / (1 + np.exp(np.clip(like[0] - like[1], -60, 60)))
         if np.abs(new - post).max() < 1e-9:
@@ -159,20 +172,37 @@ def fit(counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
     return dict(zip(codes.tolist(), post.tolist(), strict=True))
 
 
+def posteriors(votes: DataFrame, column: str = "votes") -> dict[int, float]:
+    """Fit on the votes of all documents. Only their counts, bounded by the number of patterns, reach the driver."""
+    return fit({r[0]: r[1] for r in votes.groupBy(column).agg(F.count(F.lit(1))).collect()})
+
+
 def apply_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, statistics, base_failed, posterior and kept of every document.
 
-    The vote counts cover all documents; only the counts (bounded by the number of patterns)
-    reach the driver, and the fitted posteriors travel back as a table of the same bound.
+    The fitted posteriors travel back as a table of as many rows as there are vote patterns.
     """
     spark = docs.sparkSession
     seen = written(measured(docs), "votes")
-    counts = {r["votes"]: r["n"] for r in seen.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
-    post = fit(counts)
-    known = spark.createDataFrame([(int(k), float(v)) for k, v in post.items()] or [(-1, 0.0)], "votes bigint, posterior double")
+    known = spark.createDataFrame(list(posteriors(seen).items()) or [(-1, 0.0)], "votes bigint, posterior double")
     out = seen.join(F.broadcast(known), "votes", "left")  # at most 3 ** len(RULES) rows
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= F.lit(threshold))).drop("votes")
 
 
+def good_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that the rules keep: each row by its own text, without a shuffle."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [measures(t) for t in texts_of(batch)]
+        cols = pa.array([not base_failed(m) for m in found], pa.bool_()), pa.array([vote(m) for m in found], pa.int64())
+        return pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "__base_passed", "__votes"])
+
+    wider = T.StructType([*docs.schema.fields, T.StructField("__base_passed", T.BooleanType()), T.StructField("__votes", T.LongType())])
+    judged = written(map_batches(docs, one, wider), "judged")
+    good = [(k,) for k, p in posteriors(judged, "__votes").items() if p >= threshold]
+    good = docs.sparkSession.createDataFrame(good or [(-1,)], "__votes bigint")
+    return judged.where("__base_passed").join(F.broadcast(good), "__votes", "left_semi").select(docs.columns)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"))
