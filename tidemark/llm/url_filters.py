@@ -87,9 +87,10 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
 
     ``pages``: page_id, host. ``outcomes``: page_id, bad (0 or 1), one row per page.
     """
-    seen = pages.join(outcomes, "page_id").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
-    domain = domain_of(F.col("host"))
-    hosts = seen.withColumn("domain", domain).withColumn("suffix", suffix_of(F.col("domain")))
+    labelled = pages.join(outcomes, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    every = labelled.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
+    every = written(every, "host-counts")  # all that follows reads one row a host
+    hosts = every.where("n > 0")
     total = hosts.agg(
         ((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("overall"), (F.count(F.lit(1)) > 0).alias("any_label")
     )
@@ -101,8 +102,7 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
         "domain", ((F.col("bad") + F.col("domain_strength") * F.col("suffix_mean")) / (F.col("n") + F.col("domain_strength"))).alias("domain_mean")
     )
     k = _strength(hosts.join(domains, "domain"), "domain_mean")
-    every = pages.select("host").distinct().withColumn("domain", domain).withColumn("suffix", suffix_of(F.col("domain")))
-    every = every.join(hosts.select("host", "n", "bad"), "host", "left").na.fill(0, ["n", "bad"]).join(domains, "domain", "left").join(suffixes, "suffix", "left")
+    every = every.join(domains, "domain", "left").join(suffixes, "suffix", "left")
     for one_row in (total, of_domains, k):
         every = every.crossJoin(F.broadcast(one_row))
     prior = F.coalesce("domain_mean", "suffix_mean", "overall")
