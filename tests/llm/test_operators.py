@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import wave
 import zlib
 from collections import Counter
@@ -60,7 +61,7 @@ def test_awkward_rows_and_empty_tables(spark, name):
     assert {r["doc_id"] for r in got.collect()} == set(range(len(AWKWARD)))
     assert ROWWISE[name](docs(spark).where("false")).count() == 0
     twice = docs(spark, ["same text here " * 30] * 2)
-    drop = {"doc_id", "component_id", "kept", "sequence_id", "offset"} if name in ("dedup", "packing") else {"doc_id"}
+    drop = {"doc_id", "component_id", "kept", "chosen", "sequence_id", "offset"} if name in ("dedup", "packing") else {"doc_id"}
     a, b = ({k: v for k, v in r.items() if k not in drop} for r in by_id(ROWWISE[name](twice)).values())
     assert a == b
 
@@ -208,19 +209,64 @@ def test_packing_is_gapless_and_tight(spark, sf_dir):
     assert len(places) <= -(-sum(r["length"] for r in rows) // 2048) + 2
 
 
-def test_packing_plan_moves_blocks_like_pieces():
+def brute_places(lengths, size):
+    """One piece at a time, longest first, where the sum of the squared counts of open sequences by gap is least."""
+    n, stacks, fresh, out = [0] * (size + 1), [[] for _ in range(size + 1)], 0, {}
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        length, best = lengths[k], None
+        for gap in range(length, size):
+            if n[gap]:
+                after = n[:]
+                after[gap] -= 1
+                after[gap - length] += 1
+                cost = sum(m * m for m in after[1:size])
+                if best is None or cost < best[0]:
+                    best = (cost, gap)
+        gap = best[1] if best else size
+        if best:
+            sequence = stacks[gap].pop()
+            n[gap] -= 1
+        else:
+            sequence, fresh = fresh, fresh + 1
+        out[k] = (sequence, size - gap)
+        if gap > length:
+            n[gap - length] += 1
+            stacks[gap - length].append(sequence)
+    return [out[k] for k in range(len(lengths))]
+
+
+def test_packing_places_every_piece_by_the_rule():
     rng = random.Random(2)
-    histogram = Counter(rng.randint(1, 64) for _ in range(5000))
-    for blocks in (3, 50, 10**9):
-        rows = packing.plan(histogram, 64, blocks)
-        fill = Counter()
-        for n in sorted(histogram, reverse=True):
-            mine = sorted((r for r in rows.tolist() if r[0] == n), key=lambda r: r[1])
-            for (_, a, seq, at), b in zip(mine, [*[m[1] for m in mine[1:]], histogram[n]], strict=True):
-                for j in range(b - a):
-                    assert fill[seq + j] == at
-                    fill[seq + j] += n
-        assert max(fill.values()) <= 64 and len(fill) <= 1.02 * sum(k * v for k, v in histogram.items()) / 64 + 2
+    for size in (1, 2, 7, 16, 40):
+        for _ in range(20):
+            lengths = [rng.randint(1, size) for _ in range(rng.randint(0, 120))]
+            sequence, offset = packing.places(np.array(lengths, np.int64), size)
+            assert list(zip(sequence.tolist(), offset.tolist(), strict=True)) == brute_places(lengths, size)
+    lengths = np.array([rng.randint(1, 64) for _ in range(5000)])
+    assert packing.places(lengths, 64)[0].max() + 1 <= 1.01 * lengths.sum() / 64
+
+
+def test_packing_in_parts_keeps_every_piece_and_its_ids(spark, tmp_path):
+    texts = [None, "a b c"] * 40 + [" ".join(WORDS[k : k + 30]) for k in range(60)]
+    given = spark.createDataFrame([(k if k % 3 else None, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    json_path, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    packing.pieces(given, json_path, ranks, 64, with_ids=True).withColumn("row", F.monotonically_increasing_id()).write.parquet(str(tmp_path / "p"))
+    rows = packing.pack(spark.read.parquet(str(tmp_path / "p")), 64, part=50).collect()
+    tk = Tokenizer.from_file(json_path)
+    want = Counter()
+    for t in texts:
+        ids = [*tk.encode(t or "", add_special_tokens=False).ids, 0]
+        want.update(tuple(ids[a : a + n]) for a, n in packing.cut(len(ids), 64))
+    assert Counter(tuple(r["ids"]) for r in rows) == want and len({r["sequence_id"] // packing.STRIDE for r in rows}) > 2
+    held = {}
+    for r in rows:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["ids"]))
+    for parts in held.values():  # a sequence is rebuilt from its pieces, without gap or overlap
+        assert sum(len(ids) for _, ids in parts) <= 64
+        at = 0
+        for offset, ids in sorted(parts):
+            assert offset == at
+            at += len(ids)
 
 
 def brute_components(texts, width, percent):
@@ -349,6 +395,21 @@ def test_token_counts(spark, sf_dir):
         assert (got[k]["n_tokens"], got[k]["n_bytes"], got[k]["over_limit"]) == (n, len((t or "").encode()), n > 4096)
 
 
+def test_token_counts_take_time_in_proportion(sf_dir):
+    path = public_tokenizers.path(counts.MODEL)
+    sp = counts.processor(path)
+    assert not set(counts.stable_cuts("漢字 a", path)) ^ {1, 2} and 1 not in counts.stable_cuts("the", path)
+    for unit in ("漢字かな", "x", " ", "helloworldthisis"):
+        took = []
+        for n in (250_000, 1_000_000):
+            text = (unit * n)[:n]
+            began = time.perf_counter()
+            got = sum(map(len, counts._parts(text, path, counts.CHUNK, counts.OVERLAP)))
+            took.append(time.perf_counter() - began)
+            assert got == len(sp.encode(text))
+        assert took[1] < 9 * took[0] + 0.5, (unit, took)
+
+
 def test_url_parts_and_rules(spark):
     rows = [
         (1, "https://A.Example.net/en/x?q#f"), (2, "http://net/"), (3, "http://fishnet/"), (4, "x://b.example.com/de/"), (5, "https://wiki.org/fr/a"), (6, None),
@@ -402,18 +463,155 @@ def test_toxicity_learns_from_documents(spark):
     assert empty[0]["score"] == 0.0 and tox.toxicity(docs(spark, []), labels).count() == 0
 
 
+def test_length_alone_makes_no_document_toxic(spark):
+    at = "/root/testdata/sf0.1"
+    labels, given = spark.read.parquet(f"{at}/labels.parquet"), spark.read.parquet(f"{at}/documents.parquet")
+    model = tox.fit(given, labels)
+    rows = given.join(labels, "doc_id").where("toxic is not null").select("doc_id", "text", "toxic", (tox.remainder() == 0).alias("held")).collect()
+    for held in (True, False):
+        long = ". ".join(r["text"] or "" for r in rows if r["held"] == held and not r["toxic"])
+        for n in (500_000, 1_500_000):
+            assert len(long) > n and tox.score(long[:n], model)[0] < 0.5
+    found = [(tox.score(r["text"] or "", model)[0] >= 0.5, r["toxic"]) for r in rows if r["held"]]
+    assert sum(a and b for a, b in found) >= 76 and sum(a and not b for a, b in found) <= 2
+    bad = max((r["text"] for r in rows if r["toxic"] and r["text"]), key=lambda t: tox.score(t, model)[0])
+    assert tox.score(long[:200_000] + ". " + bad, model)[0] > 0.5
+
+
+def test_leak_and_scale_against_their_definition():
+    texts = ["calm day. fine sea.", "vile word. calm day."] * 20 + ["fine sea. calm sea. fine day."] * 10
+    labels = [0, 1] * 20 + [0] * 10
+    model = tox.train(texts, labels)
+    part = lambda s: np.log1p(np.exp(model.bias + sum(model.words[w] for w in s)))
+    clean = [part(s) for t, y in zip(texts, labels, strict=True) if not y for s in tox.bag(t)]
+    assert np.isclose(model.leak[0], np.mean(clean)) and np.isclose(model.leak[1], np.var(clean))
+    for t in texts[:2]:
+        sums = [part(s) for s in tox.bag(t)]
+        beyond = max(0, sum(sums) - model.leak[0] * len(sums) - tox.SIGMAS * np.sqrt(model.leak[1] * len(sums)))
+        assert np.isclose(tox.score(t, model)[0], 1 - np.exp(-model.scale * beyond))
+    assert tox.score(texts[0], model)[0] < 0.5 < tox.score(texts[1], model)[0]
+
+
 def test_every_offending_sentence_is_located(spark):
-    weights = {"vileword": 9.0, "grim": 5.5}
+    model = tox.Model(tox.WordWeights({"vileword": 9.0, "grim": 5.5}), -6.0)
     texts = ["Fine words here. A vileword one. Calm again! VILEWORD twice? End.", "grim a. grim b. grim c.", "all calm. still calm.", "", None, "İ vileword."]
-    got = by_id(tox.scored(docs(spark, texts), weights, -6.0))
+    got = by_id(tox.scored(docs(spark, texts), model))
     cut = {k: [texts[k][s["start"] : s["end"]] for s in got[k]["offending"]] for k in got}
     assert cut == {0: [" A vileword one", " VILEWORD twice"], 1: ["grim a"], 2: [], 3: [], 4: [], 5: ["İ vileword"]}
     assert got[1]["predicted"] == 1 and got[1]["worst_score"] < tox.OFFENDS and got[1]["offending"][0]["score"] == got[1]["worst_score"]
     assert all(s["score"] >= tox.OFFENDS for s in got[0]["offending"])
-    untrained = by_id(tox.scored(docs(spark, texts), {}, -float("inf")))
+    untrained = by_id(tox.scored(docs(spark, texts), tox.Model(tox.WordWeights({}))))
     assert all(r["offending"] == [] for r in untrained.values())
 
 
+def test_expectation_maximisation_against_plain_loops():
+    rng = random.Random(12)
+    counts_ = Counter()
+    for _ in range(3000):
+        good = rng.random() < 0.7
+        code = sum((rng.choices((0, 1, 2), (2, 7, 1) if good else (2, 2, 6))[0]) * 3**k for k in range(len(quality.RULES)))
+        counts_[code] += 1
+    votes = {c: [c // 3**k % 3 for k in range(len(quality.RULES))] for c in counts_}
+    post = {c: 1 / (1 + np.exp(-(0.5 * v.count(1) - 2.5 * v.count(2)))) for c, v in votes.items()}
+    for _ in range(60):
+        total = sum(counts_.values())
+        share = [sum(n * (post[c] if y else 1 - post[c]) for c, n in counts_.items()) / total for y in (0, 1)]
+        table = []
+        for y in (0, 1):
+            rows = []
+            for k in range(len(quality.RULES)):
+                w = [1.0, 0.2, 1.0]
+                for c, n in counts_.items():
+                    w[votes[c][k]] += n * (post[c] if y else 1 - post[c])
+                rows.append([x / sum(w) for x in w])
+            table.append(rows)
+        for c, v in votes.items():
+            like = [share[y] * np.prod([table[y][k][v[k]] for k in range(len(v))]) for y in (0, 1)]
+            post[c] = like[1] / (like[0] + like[1])
+    got = quality.fit(dict(counts_), rounds=60)
+    assert all(abs(got[c] - post[c]) < 1e-6 for c in counts_)
+
+
+def test_no_rule_is_worse_than_chance():
+    w = np.array([[[1.0, 7.0, 2.0]] * len(quality.RULES), [[1.0, 2.0, 7.0]] * len(quality.RULES)])
+    out = quality.no_worse_than_chance(w)
+    assert np.allclose(out.sum(2), 1) and (out[1, :, 1] >= out[0, :, 1] - 1e-12).all() and (out[0, :, 2] >= out[1, :, 2] - 1e-12).all()
+    fine = np.array([[[1.0, 2.0, 7.0]], [[1.0, 7.0, 2.0]]])
+    assert np.allclose(quality.no_worse_than_chance(fine), fine / 10)
+    assert quality.measures("ab — “cd” 😀 é漢")["n_letters"] == 6
+
+
+def test_media_peaks_against_plain_loops():
+    rng = random.Random(13)
+    data = media.payload("".join(rng.choices("abc def\n.", k=700)))[1]
+    x = [0.0] * media.LEAD + [b - 128.0 for b in data]
+    frames = -(-len(x) // media.HOP)
+    x += [0.0] * media.FRAME
+    level = []
+    for t in range(frames):
+        part = np.array(x[t * media.HOP : t * media.HOP + media.FRAME], np.float32) * media._WINDOW
+        k = np.arange(media.FRAME)
+        level.append([abs((part * np.exp(-2j * np.pi * f * k / media.FRAME)).sum()) ** 2 for f in range(media.FRAME // 2 + 1)])
+    want = []
+    for low, high in media.BANDS:
+        best = [max(range(low, high), key=lambda f: level[t][f]) for t in range(frames)]
+        top = [-1.0, *(level[t][best[t]] for t in range(frames)), -1.0]
+        want += [(t, best[t]) for t in range(frames) if top[t + 1] >= top[t] and top[t + 1] > top[t + 2] and top[t + 1] > 1e-6]
+    t, f = media.spectral_peaks(data)
+    assert list(zip(t.tolist(), f.tolist(), strict=True)) == sorted(want)
+
+
+def test_remaining_links_in_families_of_every_kind(spark):
+    rng, texts = random.Random(21), []
+    for _ in range(3):  # chains that drift by replaced, lost and added words
+        now = rng.choices(WORDS, k=150)
+        for _ in range(40):
+            for _ in range(rng.randint(1, 3)):
+                at, kind = rng.randrange(len(now)), rng.random()
+                now[at : at + (kind < 0.66)] = [rng.choice(WORDS)] if kind < 0.33 or kind >= 0.66 else []
+            texts.append(" ".join(now))
+    frame = rng.choices(WORDS, k=100)
+    for _ in range(80):  # a template whose gaps are filled from few words
+        words = frame[:]
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(100)] = rng.choice(WORDS[:20])
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    got = by_id(dedup.near_duplicates(docs(spark, texts), 3, 85))
+    sizes, labels = brute_components(texts, 3, 85)
+    assert [got[k]["component_id"] for k in range(len(texts))] == labels
+
+
+def test_rows_without_or_with_shared_ids_are_judged_by_their_text(spark):
+    a, b = " ".join(WORDS[:60]), " ".join(WORDS[100:160])
+    rows = [(None, a), (None, b), (7, a), (7, b), (7, b), (None, None), (None, ""), (3, b + " more"), (9, " ".join(WORDS[200:260])), (9, "w1 w2 " * 9), (9, "w1 w2 " * 9)]
+    given = spark.createDataFrame([(k, t, "en", 1) for k, t in rows], "doc_id bigint, text string, lang string, digest int")
+    got = dedup.unique_documents(given, 5, 80)
+    assert got.columns == given.columns
+    kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert kept == Counter([(7, a), (3, b + " more"), (None, None), (None, ""), (9, rows[8][1]), (9, rows[9][1])])
+    found = dedup.near_duplicates(given, 5, 80).collect()
+    assert len(found) == len(rows) and sum(r["component_id"] == 3 for r in found) == 4
+    alone = [(None, a), (None, a + " x")]
+    assert dedup.unique_documents(spark.createDataFrame(alone, "doc_id bigint, text string"), 5, 80).count() == 1
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert tox.clean_documents(given, labels).count() == len(rows)
+    good = Counter((r["doc_id"], r["text"]) for r in quality.good_documents(given).collect())
+    verdicts = Counter((r["doc_id"], r["kept"]) for r in quality.apply_rules(given).collect())
+    assert sum(good.values()) == sum(n for (_, k), n in verdicts.items() if k) and sum(verdicts.values()) == len(rows)
+    assert good[(None, a)] == good[(7, a)] and good[(7, b)] == 2 * good[(None, b)]
+
+
+def test_chats_with_clashing_columns_and_without_rows(spark, tmp_path):
+    rows = [(1, 0, "user", "q", "x", 5), (1, 1, "assistant", "a", "y", 6)]
+    ddl = "conv_id bigint, turn bigint, role string, text string, parent string, score int"
+    spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / "a/conversations.parquet"))
+    spark.createDataFrame([], ddl).write.parquet(str(tmp_path / "b/conversations.parquet"))
+    got = {r["conv_id"]: r["n_turns"] for r in chat.op1_chat_formatting(spark, str(tmp_path / "a")).collect()}
+    assert got == {1: 2, -7: 2}
+    assert [r["conv_id"] for r in chat.op1_chat_formatting(spark, str(tmp_path / "b")).collect()] == [-7]
+
+
 def test_pipeline_against_its_parts(spark, sf_dir):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "quality", "near_duplicates", "personal_data", "packing"]

@@ -9,10 +9,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tidemark.shipping import ship
 
-#: Rows of one Arrow batch handed to a Python worker. Bounds a worker's memory to this many texts.
+#: Rows worked on at once. Spark bounds the batch they come in by bytes (64 MiB by default).
 BATCH_ROWS = 256
 
 _written: list[tuple[SparkSession, str]] = []
@@ -24,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the cluster names none (tests)."""
+    """The folder all executors share; a temporary one only where driver and executors are one process (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tidemark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -47,13 +50,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Delete every intermediate table this driver has written with :func:`written`."""
-    while _written:
-        _, path = _written.pop()
+def mark() -> int:
+    """A place in the list of intermediate tables, for :func:`forget`."""
+    return len(_written)
+
+
+def forget(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Delete the intermediate tables written by :func:`written` between two marks; all by default."""
+    for _, path in _written[since:until]:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    del _written[since:until]
 
 
 @atexit.register
@@ -66,11 +74,10 @@ def _forget_at_exit() -> None:
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = BATCH_ROWS
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, rows: int = BATCH_ROWS
 ) -> DataFrame:
     """``mapInArrow`` with one function per batch of at most ``rows`` rows."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

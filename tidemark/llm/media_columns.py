@@ -8,7 +8,8 @@ give equal media and features.
 
 Defined results: a null text is the empty one (64 zero samples); a text whose peaks make no pair has
 its single peaks as hashes, with no second bin and no gap; very long texts are
-transformed in blocks of frames, so memory is bounded by the payload, not its spectrogram.
+transformed in blocks of frames, so memory is bounded by the payload, not its spectrogram; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ none (checked when it is loaded), the best sequence of a text is the best sequen
 so each distinct word is solved once and remembered. Otherwise texts are solved whole.
 
 Defined results: a null or empty text has no pieces and decodes to the empty text; very long texts
-are encoded whole, word by word; repeated rows give equal pieces.
+are encoded whole, word by word; repeated rows give equal pieces; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -166,11 +167,11 @@ class Unigram:
         self.unknown = float(self.scores[normal].min()) - 10.0
         best = float(self.scores[normal].max())
         self.score = self.scores.tolist()
-        self.gain = np.array(self.score)
         self.base, self.check = self.trie.base.tolist(), self.trie.check.tolist()
         for k in matched:  # a piece the user defined always wins, as in the library
             if kinds[k] == USER:
                 self.score[k] = len(self.pieces[k]) * best - 0.1
+        self.gain = np.array(self.score)
         self.unk = kinds.index(UNKNOWN)
         self.byte = np.full(256, self.unk, np.int64)
         self.raw = [MARK.encode() if k == self.unk else p.encode() for k, p in enumerate(self.pieces)]
@@ -345,13 +346,13 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         is_byte[m.byte[m.byte != m.unk]] = True
         same = [m.decode(i) == t.replace(MARK, " ") for i, t in zip(ids, texts, strict=True)]
         flat = np.concatenate(ids) if ids else np.zeros(0, "<i4")
-        ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum([len(i) for i in ids], dtype=np.int64)])
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 pa.array([len(i) for i in ids], pa.int64()),
                 pa.array([int(is_byte[i].sum()) if high >= low else 0 for i in ids], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())),
+                pa.ListArray.from_arrays(pa.array(ends.astype(np.int64), pa.int32()), pa.array(flat, pa.int32())),
                 pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()),
                 pa.array(same, pa.bool_()),
             ],
