@@ -1,37 +1,39 @@
 """The corpus pipeline: toxicity, quality, near duplicates, personal data, packing.
 
 Every stage is (name, function of (spark, docs, sf_dir)); its result is written as Parquet and read
-again as the next stage's docs. All but the last return the columns they were given.
+again as the next stage's docs. All but the last return the columns they were given, whichever they are.
+
+Every decision is made on a row by its own text, never through its doc_id, so rows without a doc_id and
+rows that share one are kept or rejected like any other:
+
+* toxicity: a row predicted toxic goes; a null or empty text scores 0 and stays.
+* quality: a row that the base rules or the weak supervision reject goes; so do null and empty texts.
+* near_duplicates: of linked rows (five-word shingles, a similarity of 0.8) the one of the smallest
+  doc_id stays, nulls last; rows equal in doc_id and text stay once; texts without words all stay.
+* personal_data: every row stays, its text masked; a null text stays null.
+* packing: every row is packed, a null or empty text as a lone separator, with its token ids.
+
+An empty table passes through every stage as an empty one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import best_fit_packing, minhash_dedup, personal_data, quality_rules, toxicity
-from tidemark.llm.common import table, written
-
-
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among the verdicts'; each side is hashed once, on a unique key."""
-    return docs.join(verdicts.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+from tidemark.llm.common import forget, mark, table, written
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    rejected = scored.where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, quality_rules.apply_rules(docs).where("kept"))
+    return quality_rules.good_documents(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, a similarity of 0.8; repeated rows of a kept document stay one."""
-    kept = minhash_dedup.near_duplicates(docs, width=5, percent=80).where("kept")
-    return _keep(docs, kept).dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else docs
+    return minhash_dedup.unique_documents(docs, width=5, percent=80)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_packing.best_fit_packing(docs)
+    return best_fit_packing.best_fit_packing(docs, with_ids=True)
 
 
 STAGES = [
@@ -57,7 +59,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        begun = mark()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
+            made = mark()
             docs = written(docs, name)
+            forget(spark, begun, made)  # what only this stage has read
+            if k:
+                forget(spark, begun - 1, begun)  # the stage before
     return docs
