@@ -58,6 +58,65 @@ def test_unchanged_columns_take_the_value_before_and_nulls_stay(spark):
         state(spark, [(100, 1, "I", 1, None, None, ["name"])], 100)
 
 
+def test_unchanged_columns_follow_a_row_through_every_key(spark):
+    rows = [(100, 1, "I", 1, "a"), (200, 1, "U", 2, None, 1, ["name"]), (300, 1, "U", 2, None, None, ["name"])]
+    assert state(spark, rows, 200) == [(2, "a")] and state(spark, rows, 300) == [(2, "a")]
+    rows += [(400, 1, "U", 3, None, 2, ["name"]), (400, 2, "U", 4, None, 3, ["name"]), (500, 1, "I", 1, "other"), (600, 1, "U", 4, "b"), (700, 1, "U", 9, None, 4, ["name"])]
+    assert state(spark, rows, 400) == [(4, "a")] and state(spark, rows, 599) == [(1, "other"), (4, "a")] and state(spark, rows, 700) == [(1, "other"), (9, "b")]
+
+
+def test_a_move_onto_an_open_key_is_an_error(spark):
+    with pytest.raises(C.ChangeError, match="onto a key that is open"):
+        state(spark, [(100, 1, "I", 1, "a"), (100, 2, "I", 2, "b"), (200, 1, "U", 2, "a", 1)], 200)
+
+
+def replay(rows, lsn):
+    held = {}
+    for at, _, op, k, name, old, unchanged in rows:
+        if at > lsn:
+            break
+        if op == "T":
+            held = {}
+        elif op == "D":
+            del held[k]
+        else:
+            before = held.pop(old) if old is not None and old != k else held.get(k)
+            held[k] = before if unchanged else name
+    return held
+
+
+def test_random_histories_with_moves_unchanged_columns_and_truncates(spark):
+    rng, rows, held = random.Random(11), [], {}
+    for lsn in range(1, 200):
+        for ord_ in range(1, rng.randint(1, 3) + 1):
+            live, free = sorted(held), [k for k in range(12) if k not in held]
+            kind = rng.choices("IUMDT", (5, 5, 4, 2, 0.3))[0]
+            if kind == "T":
+                row = (lsn, ord_, "T", None, None, None, None)
+            elif kind == "I" or not live:
+                if not free:
+                    continue
+                row = (lsn, ord_, "I", rng.choice(free), rng.choice([None, f"v{lsn}.{ord_}"]), None, None)
+            elif kind == "D":
+                row = (lsn, ord_, "D", rng.choice(live), None, None, None)
+            else:
+                old = rng.choice(live)
+                same = rng.random() < 0.6
+                key = rng.choice(free) if kind == "M" and free else old
+                row = (lsn, ord_, "U", key, None if same else f"v{lsn}.{ord_}", old if key != old else None, ["name"] if same else None)
+            rows.append(row)
+            held = replay(rows, lsn)
+    changes = spark.createDataFrame(rows, DDL).cache()
+    assert C.violations(changes, ["id"], COLUMNS).isEmpty()
+    versions, raw = C.versions_of(changes, ["id"], COLUMNS).cache(), C.version_rows(changes, ["id"], COLUMNS).cache()
+    spans = V.intervals(raw, ["id"]).cache()
+    for lsn in (0, 1, 20, 55, 100, 150, 199):
+        want = replay(rows, lsn)
+        assert {r["id"]: r["name"] for r in V.state_at(versions, lsn).collect()} == want
+        assert {r["id"]: r["name"] for r in V.latest_at(raw, ["id"], lsn).collect()} == want
+        assert {r["id"]: r["name"] for r in V.state_at(spans, lsn).collect()} == want
+
+
 def test_truncate_with_and_without_key(spark):
     rows = [(100, 1, "I", 1, "a"), (200, 1, "T", None, None), (300, 1, "I", 1, "b")]
     assert state(spark, rows, 250) == [] and state(spark, rows, 300) == [(1, "b")]

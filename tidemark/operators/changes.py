@@ -7,9 +7,10 @@ value the source left out because it did not change; null or empty otherwise).
 * An insert opens a version, a delete closes one, an update closes the old image's key (the new one's
   where there is no old image) and opens the new image's; so a changed key leaves no ghost.
 * A truncate closes everything older, in tables with and without a key.
-* A column in ``unchanged`` takes the key's value before; a true null is not filled.
-* Loud errors: an update or delete of a key that is not open, an insert of one that is, an update
-  or delete without a key, an unchanged column without a value before.
+* A column in ``unchanged`` takes the row's value before, through every change of its key; a true null
+  is not filled.
+* Loud errors: an update or delete of a key that is not open, an insert of one that is, a move onto one that
+  is, an update or delete without a key, an unchanged column without a value before.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.lsn import HEAD
 from tidemark.schema import LSN, LSN_TO, ORD
+from tidemark.storage import cut
 
 
 class ChangeError(ValueError):
@@ -63,7 +65,7 @@ def versions_of(changes: DataFrame, key: list[str], columns: list[str], strict:
         end = F.coalesce(F.get(after, F.lit(0))["lsn"], F.lit(HEAD))
         return rows.select(*columns, F.col("ord").alias(ORD), end.alias(LSN_TO), F.col("lsn").alias(LSN))
     order = Window.partitionBy(*key).orderBy("lsn", "ord", "sub")
-    filled = _filled(_events(changes, key, columns), key, columns, "unchanged" in changes.columns)
+    filled = _filled(_events(changes, key, columns), key, columns, "unchanged" in changes.columns, _may_move(changes, key))
     rows = filled.withColumn("next", F.lead("lsn").over(order)).where("sub = 1")
     if not truncates:
         return rows.select(*columns, F.col("ord").alias(ORD), F.coalesce("next", F.lit(HEAD)).alias(LSN_TO), F.col("lsn").alias(LSN))
@@ -72,22 +74,45 @@ def versions_of(changes: DataFrame, key: list[str], columns: list[str], strict:
     return rows.select(*columns, F.col("ord").alias(ORD), end.alias(LSN_TO), F.col("lsn").alias(LSN))
 
 
-def _filled(events: DataFrame, key: list[str], columns: list[str], fill: bool) -> DataFrame:
-    """Unchanged columns take the last known value of their key; a moved row takes it from its old key."""
+def _lineages(events: DataFrame, key: list[str]) -> DataFrame:
+    """events with ``__row``: where the row they belong to was inserted, through all changes of its key.
+
+    A stretch is what happens to a key from an insert or an arrival on; an arrival's stretch continues the one
+    its departure belongs to. Stretches are followed to their first by doubling, so a chain of n moves
+    takes about log2(n) rounds, each over the moves alone.
+    """
+    place = F.struct("lsn", "ord")
+    began = F.when((F.col("sub") == 1) & ((F.col("op") == "I") | F.col("moved")), place)
+    before = Window.partitionBy(*key).orderBy("lsn", "ord", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    events = events.withColumn("__row", F.coalesce(F.last(began, ignorenulls=True).over(before), place))
+    moves = cut(events.where("moved and sub = 0").select(place.alias("child"), F.col("__row").alias("first")))
+    while True:
+        further = moves.select(F.col("child").alias("first"), F.col("first").alias("further"))
+        if moves.join(further, "first", "left_semi").isEmpty():
+            break
+        moves = cut(moves.join(further, "first", "left").select("child", F.coalesce("further", "first").alias("first")))
+    firsts = moves.select(F.col("child").alias("__row"), "first")
+    return events.join(firsts, "__row", "left").withColumn("__row", F.coalesce("first", "__row")).drop("first")
+
+
+def _filled(events: DataFrame, key: list[str], columns: list[str], fill: bool, may_move: bool) -> DataFrame:
+    """Unchanged columns take the last known value of their row. Without moves a row is its key."""
     if not fill:
         return events
-    before = Window.partitionBy(*key).orderBy("lsn", "ord", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    row = key
+    if may_move:
+        events, row = _lineages(events, key), ["__row"]
+    before = Window.partitionBy(*row).orderBy("lsn", "ord", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     plain = [c for c in columns if c not in key]
-    out = events
-    for c in plain:
-        own = F.when((F.col("sub") == 1) & ~F.coalesce(F.array_contains("unchanged", c), F.lit(False)), F.struct(F.col(c).alias("v")))
-        out = out.withColumn(f"__{c}", F.last(own, ignorenulls=True).over(before))
-    closes = out.where("moved and sub = 0").select("lsn", "ord", *[F.col(f"__{c}").alias(f"__old_{c}") for c in plain])
-    out = out.join(closes.withColumn("sub", F.lit(1)), ["lsn", "ord", "sub"], "left")
-    for c in plain:
-        gone = F.coalesce(F.array_contains("unchanged", c), F.lit(False))
-        out = out.withColumn(c, F.when(gone & F.col("moved"), F.col(f"__old_{c}")["v"]).when(gone, F.col(f"__{c}")["v"]).otherwise(F.col(c)))
-    return out.drop(*[f"__{c}" for c in plain], *[f"__old_{c}" for c in plain])
+    gone = {c: F.coalesce(F.array_contains("unchanged", c), F.lit(False)) for c in plain}
+    known = {c: F.last(F.when((F.col("sub") == 1) & ~gone[c], F.struct(F.col(c).alias("v"))), ignorenulls=True).over(before) for c in plain}
+    out = events.select("*", *[known[c].alias(f"__{c}") for c in plain])
+    out = out.withColumns({c: F.when(gone[c], F.col(f"__{c}")["v"]).otherwise(F.col(c)) for c in plain})
+    return out.drop(*[f"__{c}" for c in plain], "__row")
+
+
+def _may_move(changes: DataFrame, key: list[str]) -> bool:
+    return any(f"old_{k}" in changes.columns for k in key)
 
 
 def violations(changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -106,16 +131,28 @@ def violations(changes: DataFrame, key: list[str], columns: list[str]) -> DataFr
         .when(F.col("moved") & (F.col("sub") == 0) & ~opened, "update of an unknown key")
         .when((F.col("op") == "U") & ~F.col("moved") & ~opened, "update of an unknown key")
         .when((F.col("op") == "I") & opened, "insert of a key that is open")
+        .when(F.col("moved") & (F.col("sub") == 1) & opened, "update onto a key that is open")
         .when((F.col("op") == "I") & lost, "unchanged column without a value before")
     )
     return seen.select("lsn", "ord", problem.alias("problem")).where("problem is not null")
 
 
-def version_rows(changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """The raw form: one immutable row per change and a tombstone for every key that ends, the old key of
-    a moved row included. Columns plus _lsn, _ord, _deleted."""
-    filled = _filled(_events(changes, key, columns), key, columns, "unchanged" in changes.columns)
-    return filled.select(*columns, F.col("lsn").alias("_lsn"), (F.col("ord") * 2 + F.col("sub")).alias("_ord"), (F.col("sub") == 0).alias("_deleted"))
+def version_rows(changes: DataFrame, key: list[str], columns: list[str], truncates: bool = True) -> DataFrame:
+    """The raw form: one immutable row per change and a tombstone for every key that ends: the old key of a
+    moved row, and each key that a truncate finds open. Columns plus _lsn, _ord, _deleted.
+    ``truncates`` false: the log has none."""
+    if not key:
+        raise ChangeError("version rows need a key")
+    filled = _filled(_events(changes, key, columns), key, columns, "unchanged" in changes.columns, _may_move(changes, key))
+    place = lambda lsn, n, deleted: [F.col(lsn).alias("_lsn"), n.alias("_ord"), deleted.alias("_deleted")]
+    rows = filled.select(*columns, *place("lsn", F.col("ord") * 2 + F.col("sub"), F.col("sub") == 0))
+    if not truncates:
+        return rows
+    order = Window.partitionBy(*key).orderBy("lsn", "ord", "sub")
+    open_ = filled.withColumn("next", F.lead(F.struct("lsn", "ord")).over(order)).where("sub = 1").crossJoin(F.broadcast(_truncates(changes)))
+    ends = F.expr("filter(truncates, t -> (t.lsn > lsn or (t.lsn = lsn and t.ord > ord)) and (next is null or t.lsn < next.lsn or (t.lsn = next.lsn and t.ord < next.ord)))")
+    ended = open_.withColumn("end", F.get(ends, F.lit(0))).where("end is not null")
+    return rows.unionByName(ended.select(*columns, *place("end.lsn", F.col("end.ord") * 2, F.lit(True))))
 
 
 def change_ordinals(changes: DataFrame) -> DataFrame:
