@@ -8,7 +8,7 @@ from tidemark.schema import ColumnSpec, eligibility, schema_at, schema_versions
 from tidemark.sources.copytext import parse_line, plan_ranges, read_copy
 from tidemark.sources.framelog import FrameLog, LogTail, verify_log
 from tidemark.sources.frames import Decoder, Frame, FrameError, crc32c, decode_frame, encode_frame, log_problems, parse_frames, transactions
-from tidemark.sources.store import TableStore
+from tidemark.sources.store import CommitConflict, TableStore
 from tidemark.streaming.apply import StreamApply
 
 
@@ -126,6 +126,51 @@ def test_store_commits_closes_and_compacts(spark, tmp_path):
     assert store.manifest()["applied_lsn"] == 300 and len(store.manifest()["segments"]) == 1 and store.visible_rows() == 3
 
 
+def test_a_crash_between_draft_and_commit_changes_nothing(spark, tmp_path, monkeypatch):
+    store = TableStore(spark, str(tmp_path / "t")).create("app.t", [ColumnSpec("id", 20, True)])
+    head = 2**63 - 1
+    rows = lambda *ids, at: spark.createDataFrame([(i, 0, head, at) for i in ids], "id bigint, __ord int, __lsn_to bigint, __lsn bigint")
+    store.append(rows(1, 2, at=100), 100)
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as m:
+        m.setattr(TableStore, "_rename", crash)
+        with pytest.raises(RuntimeError):
+            store.append(rows(3, at=200), 200)
+    again = TableStore(spark, str(tmp_path / "t"))
+    assert again.visible_rows() == 2 and again.applied_lsn == 100 and sorted(r["id"] for r in again.at().collect()) == [1, 2]
+    again.append(rows(3, at=200), 200)
+    assert sorted(r["id"] for r in again.at().collect()) == [1, 2, 3]
+    stale = again.manifest() | {"number": again.manifest()["number"] - 1}
+    with pytest.raises(CommitConflict):
+        again._commit(stale)
+
+
+def test_store_applies_changes_once_and_flushes_open_rows(spark, tmp_path):
+    ddl = "lsn bigint, ord int, op string, id bigint, name string, old_id bigint, unchanged array<string>"
+    log = [
+        (10, 1, "I", 1, "a", None, None), (10, 2, "I", 2, "b", None, None), (20, 1, "U", 3, None, 1, ["name"]), (30, 1, "U", 3, None, None, ["name"]),
+        (40, 1, "D", 2, None, None, None), (50, 1, "I", 2, "again", None, None), (60, 1, "T", None, None, None, None), (70, 1, "I", 9, "z", None, None),
+    ]
+    changes = spark.createDataFrame(log, ddl)
+    want = {10: {1: "a", 2: "b"}, 25: {3: "a", 2: "b"}, 35: {3: "a", 2: "b"}, 40: {3: "a"}, 55: {3: "a", 2: "again"}, 60: {}, 70: {9: "z"}}
+    for n, steps in enumerate(([100], [10, 20, 30, 40, 50, 60, 70], [25, 45, 70])):
+        store = TableStore(spark, str(tmp_path / f"t{n}"), flush_rows=3).create("app.t", [ColumnSpec("id", 20, True), ColumnSpec("name", 25)])
+        for upto in steps:
+            store.apply(changes.where(F.col("lsn") <= upto), upto)
+            store.apply(changes.where(F.col("lsn") <= upto), upto)  # again
+        for at, state in want.items():
+            assert {r["id"]: r["name"] for r in store.at(at).collect()} == state, (steps, at)
+            assert {r["id"]: r["name"] for r in store.versions().where(f"__lsn <= {at} and __lsn_to > {at}").collect()} == state
+        assert store.visible_rows() == 1 == store.at().count() and store.manifest()["segments"]
+    with pytest.raises(Exception, match="unknown key"):
+        store.apply(spark.createDataFrame([(80, 1, "D", 77, None, None, None)], ddl), 80)
+    plan = store.at(55)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(__lsn,55)" in plan and "GreaterThan(__lsn_to,55)" in plan
+
+
 def test_stream_applies_once(spark, tmp_path):
     schema = "id bigint, lsn bigint, ord int, sha256 string, deleted boolean"
     source, out = str(tmp_path / "in"), StreamApply(spark, str(tmp_path / "out"), schema)

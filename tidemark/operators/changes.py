@@ -40,12 +40,10 @@ def _events(changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame
     moved = has_old & reduce(lambda a, b: a | b, [~F.col(f"old_{k}").eqNullSafe(F.col(k)) for k in key], F.lit(False))
     rows = changes.where("op <> 'T'").withColumn("moved", (F.col("op") == "U") & moved)
     plain = [c for c in columns if c not in key]
-    opens = rows.where("op in ('I', 'U')").select("lsn", "ord", F.lit(1).alias("sub"), "op", "moved", *key, *plain, "unchanged")
-    closes = rows.where("op = 'D' or moved").select(
-        "lsn", "ord", F.lit(0).alias("sub"), "op", "moved",
-        *[F.when(has_old, F.col(f"old_{k}")).otherwise(F.col(k)).alias(k) for k in key], *plain, F.col("unchanged"),
-    )
-    return opens.unionByName(closes)
+    opens = F.when(F.col("op").isin("I", "U"), F.struct(F.lit(1).alias("sub"), *key))
+    closes = F.when((F.col("op") == "D") | F.col("moved"), F.struct(F.lit(0).alias("sub"), *[F.when(has_old, F.col(f"old_{k}")).otherwise(F.col(k)).alias(k) for k in key]))
+    both = rows.withColumn("side", F.explode(F.filter(F.array(opens, closes), lambda s: s.isNotNull())))
+    return both.select("lsn", "ord", "side.sub", "op", "moved", *[f"side.{k}" for k in key], *plain, "unchanged", F.struct(*key).alias("__to"))
 
 
 def _truncates(changes: DataFrame):
@@ -81,11 +79,11 @@ def _lineages(events: DataFrame, key: list[str]) -> DataFrame:
     its departure belongs to. Stretches are followed to their first by doubling, so a chain of n moves
     takes about log2(n) rounds, each over the moves alone.
     """
-    place = F.struct("lsn", "ord")
+    place, arrived = F.struct(*key, "lsn", "ord"), F.struct(*[F.col(f"__to.{k}").alias(k) for k in key], "lsn", "ord")
     began = F.when((F.col("sub") == 1) & ((F.col("op") == "I") | F.col("moved")), place)
     before = Window.partitionBy(*key).orderBy("lsn", "ord", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     events = events.withColumn("__row", F.coalesce(F.last(began, ignorenulls=True).over(before), place))
-    moves = cut(events.where("moved and sub = 0").select(place.alias("child"), F.col("__row").alias("first")))
+    moves = cut(events.where("moved and sub = 0").select(arrived.alias("child"), F.col("__row").alias("first")))
     while True:
         further = moves.select(F.col("child").alias("first"), F.col("first").alias("further"))
         if moves.join(further, "first", "left_semi").isEmpty():
@@ -98,7 +96,7 @@ def _lineages(events: DataFrame, key: list[str]) -> DataFrame:
 def _filled(events: DataFrame, key: list[str], columns: list[str], fill: bool, may_move: bool) -> DataFrame:
     """Unchanged columns take the last known value of their row. Without moves a row is its key."""
     if not fill:
-        return events
+        return events.drop("__to")
     row = key
     if may_move:
         events, row = _lineages(events, key), ["__row"]
@@ -108,7 +106,7 @@ def _filled(events: DataFrame, key: list[str], columns: list[str], fill: bool, m
     known = {c: F.last(F.when((F.col("sub") == 1) & ~gone[c], F.struct(F.col(c).alias("v"))), ignorenulls=True).over(before) for c in plain}
     out = events.select("*", *[known[c].alias(f"__{c}") for c in plain])
     out = out.withColumns({c: F.when(gone[c], F.col(f"__{c}")["v"]).otherwise(F.col(c)) for c in plain})
-    return out.drop(*[f"__{c}" for c in plain], "__row")
+    return out.drop(*[f"__{c}" for c in plain], "__row", "__to")
 
 
 def _may_move(changes: DataFrame, key: list[str]) -> bool:

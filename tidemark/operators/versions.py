@@ -64,10 +64,15 @@ def multiset_equal(left: DataFrame, right: DataFrame) -> bool:
     return tagged.groupBy(*cols).agg(F.sum("__n").alias("__n")).where("__n <> 0").isEmpty()
 
 
+def projection_multiset(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Every distinct row of a projection and how often it occurs, as ``n``."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+
+
 def multiset_digest(df: DataFrame) -> DataFrame:
-    """rows and an order-free digest: the sums of two independent 64-bit row hashes, as decimals."""
+    """rows and an order-free digest: the sums of two 60-bit parts of each row's MD5, as decimals.
+
+    A row's text is length:value; for each column, N; for a null."""
     row = F.concat(*[F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"), F.lit(";")), F.lit("N;")) for c in df.columns])
-    wide = "decimal(38,0)"
-    return df.select(F.xxhash64(row).cast(wide).alias("h"), F.xxhash64(F.concat(F.lit("#"), row)).cast(wide).alias("g")).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("h").alias("h"), F.sum("g").alias("g")
-    )
+    part = lambda start: F.conv(F.substring(F.md5(row), start, 15), 16, 10).cast("decimal(38,0)")
+    return df.select(part(1).alias("h"), part(16).alias("g")).agg(F.count(F.lit(1)).alias("rows"), F.sum("h").alias("h"), F.sum("g").alias("g"))

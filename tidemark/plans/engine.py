@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.lsn import HEAD, format_lsn, parse_lsn
-from tidemark.operators.search import Index, build_index, search
+from tidemark.operators.search import Index, build_index, key_text, search, synthetic_key
 from tidemark.operators.versions import state_at
+from tidemark.schema import LSN, LSN_TO, ORD
+from tidemark.sources.index_store import IndexStore
+from tidemark.sources.store import TableStore
 
 LAG_BYTES_PER_SECOND = 1_000_000
 STATUS = "stat_replication"
@@ -43,10 +46,31 @@ class LsnProof:
 
 @dataclass
 class Table:
-    versions: Callable[[], DataFrame]
+    """``source`` gives version rows or a stored table; ``stored_index`` an index of it, if there is one."""
+
+    source: Callable[[], DataFrame | TableStore]
     applied_lsn: int
     key: tuple[str, ...] = ()
     search_fields: tuple[str, ...] = ()
+    stored_index: Callable[[], IndexStore] | None = None
+
+    def at(self, lsn: int) -> DataFrame:
+        found = self.source()
+        return found.at(lsn) if isinstance(found, TableStore) else state_at(found, lsn)
+
+    def versions(self) -> DataFrame:
+        found = self.source()
+        return found.versions() if isinstance(found, TableStore) else found
+
+
+#: Functions under the names that queries may use, and Spark's.
+FUNCTIONS = {
+    "approx_distinct": "approx_count_distinct", "approx_percentile_cont": "approx_percentile", "unnest": "explode", "array_length": "size",
+    "starts_with": "startswith", "ends_with": "endswith", "strpos": "instr", "json_extract_string": "get_json_object", "array_to_string": "array_join",
+}
+_FUNCTION = re.compile(r"(?<![\w.])(" + "|".join(FUNCTIONS) + r")(?=\s*\()", re.I)
+#: What is more than a name: text in, hexadecimal text out.
+DEFINED = [f"CREATE TEMPORARY FUNCTION sha{n}(x STRING) RETURNS STRING RETURN sha2(x, {n})" for n in (224, 256, 384, 512)]
 
 
 _PARTS = re.compile(r"('(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/)", re.S)
@@ -65,14 +89,46 @@ class Engine:
     status_schema: str = "tidemark"
     refresh: Callable[[], None] | None = None
     events: deque = field(default_factory=lambda: deque(maxlen=200))
-
-    def attach(self, name: str, versions: DataFrame | Callable[[], DataFrame], applied_lsn: int, key: tuple[str, ...] = (), search_fields: tuple[str, ...] = ()) -> Engine:
-        make = versions if callable(versions) else lambda: versions
-        self.tables[name] = Table(make, applied_lsn, tuple(key), tuple(search_fields))
+    queries: int = 0
+    errors: int = 0
+    last_error: str = ""
+    started: float = field(default_factory=time.time)
+
+    def attach(
+        self, name: str, source: DataFrame | TableStore | Callable[[], DataFrame | TableStore], applied_lsn: int | None = None,
+        key: tuple[str, ...] = (), search_fields: tuple[str, ...] = (), index: IndexStore | Callable[[], IndexStore] | None = None,
+    ) -> Engine:
+        """A table from version rows or a store (then position and key are its own), searched through a stored
+        index or one that is built for the query."""
+        if isinstance(source, TableStore):
+            applied_lsn = source.applied_lsn if applied_lsn is None else applied_lsn
+            key = key or tuple(c.name for c in source.columns if c.is_key)
+        if applied_lsn is None:
+            raise ValueError(f"up to which position are the versions of {name} applied?")
+        make = source if callable(source) else lambda: source
+        stored = index if index is None or callable(index) else lambda: index
+        if isinstance(index, IndexStore):
+            search_fields = search_fields or tuple(index.fields)
+        self.tables[name] = Table(make, applied_lsn, tuple(key), tuple(search_fields), stored)
         self.received_lsn = max(self.received_lsn, applied_lsn)
-        self.events.appendleft(f"attached {name} at {format_lsn(applied_lsn)}")
+        self.note(f"attached {name} at {format_lsn(applied_lsn)}")
         return self
 
+    def note(self, event: str) -> None:
+        """The event log: newest first, with the time, the last 200."""
+        self.events.appendleft((int(time.time() * 1000), event))
+
+    def refresh_stored(self, received_lsn: int | None = None) -> None:
+        """Take over how far stored tables and their indexes have come."""
+        for name, t in self.tables.items():
+            found = t.source()
+            if isinstance(found, TableStore) and found.applied_lsn != t.applied_lsn:
+                t.applied_lsn = found.applied_lsn
+                self.note(f"applied {name} up to {format_lsn(t.applied_lsn)}")
+                if t.stored_index is not None:
+                    t.stored_index().apply(found)
+        self.received_lsn = max([self.received_lsn, received_lsn or 0, *(t.applied_lsn for t in self.tables.values())])
+
     @property
     def applied_lsn(self) -> int:
         return min((t.applied_lsn for t in self.tables.values()), default=0)
@@ -119,6 +175,16 @@ class Engine:
     # Queries
 
     def query(self, sql: str, cls: str = "", **options) -> tuple[DataFrame, LsnProof]:
+        self.queries += 1
+        try:
+            return self._query(sql, cls, **options)
+        except Exception as e:
+            self.errors += 1
+            self.last_error = str(e).splitlines()[0] if str(e) else type(e).__name__
+            self.note(f"query failed: {self.last_error}")
+            raise
+
+    def _query(self, sql: str, cls: str, **options) -> tuple[DataFrame, LsnProof]:
         target = self.resolve(cls, **options)
         session = self.spark.newSession()
         for k in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
@@ -128,11 +194,14 @@ class Engine:
         used = set(re.findall(r"\w+", rewritten))
         for name, t in self.tables.items():
             if self._view(name) in used:
-                self._bind(session, state_at(t.versions(), lsn), self._view(name))
+                self._bind(session, t.at(lsn), self._view(name))
         if (status := self._view(f"{self.status_schema}.{STATUS}")) in used:
             self._bind(session, self.status(), status)
         for view, (name, text) in searches.items():
             self._bind(session, self.search(name, text), view)
+        for define in DEFINED:
+            if re.search(rf"\b{define.split('(')[0].split()[-1]}\s*\(", rewritten, re.I):
+                session.sql(define)
         df = session.sql(rewritten)
         shapes = [(f"columnar:{n}", t.applied_lsn) for n, t in self.tables.items()]
         shapes += [(f"search:{n}", t.applied_lsn) for n, t in self.tables.items() if t.search_fields]
@@ -176,20 +245,26 @@ class Engine:
         for name in sorted([*self.tables, f"{self.status_schema}.{STATUS}"], key=len, reverse=True):
             flat = re.sub(rf"(?<![\w.]){re.escape(name)}(?![\w(])", self._view(name), flat)
         flat = re.sub(r"\bVARCHAR\b(?!\s*\()", "STRING", flat, flags=re.I)
+        flat = _FUNCTION.sub(lambda m: FUNCTIONS[m[1].lower()], flat)
         return re.sub(r"\x00(\d+)\x00", lambda m: held[int(m[1])], flat), searches
 
     def search(self, name: str, text: str, lsn: int | None = None) -> DataFrame:
         """key, score, applied_lsn. Head by default, as of any position on demand."""
-        index = self.index(name, lsn)
+        index = self.index(name)
         at = self.tables[name].applied_lsn
-        return search(index, text).select("key", F.col("score").cast("float").alias("score"), F.lit(format_lsn(at)).alias("applied_lsn"))
+        found = search(index, text, lsn=HEAD - 1 if lsn is None else lsn)
+        return found.select("key", F.col("score").cast("float").alias("score"), F.lit(format_lsn(at)).alias("applied_lsn"))
 
-    def index(self, name: str, lsn: int | None = None) -> Index:
+    def index(self, name: str) -> Index:
+        """The stored index, else one over all versions. A table without a key gets a synthetic one."""
         t = self.tables.get(name)
         if t is None or not t.search_fields:
             raise ValueError(f"no search index on {name!r}")
-        key: Column = F.col(t.key[0]).cast("string") if len(t.key) == 1 else F.concat_ws("\x1f", *[F.col(k).cast("string") for k in t.key])
-        return build_index(state_at(t.versions(), HEAD - 1 if lsn is None else lsn), key, list(t.search_fields))
+        if t.stored_index is not None:
+            return t.stored_index().index()
+        versions = t.versions()
+        key: Column = key_text(t.key) if t.key else synthetic_key([c for c in versions.columns if c not in (ORD, LSN_TO, LSN)])
+        return build_index(versions, key, list(t.search_fields))
 
     # Status
 
@@ -201,6 +276,20 @@ class Engine:
         return self.spark.createDataFrame(rows, "shape string, received_lsn string, applied_lsn string, apply_lag_bytes bigint")
 
 
+    def state(self) -> dict:
+        """The status record: positions, lag, shapes, counters and the newest events."""
+        lag = max(0, self.received_lsn - self.applied_lsn)
+        shapes = {f"columnar:{n}": format_lsn(t.applied_lsn) for n, t in self.tables.items()}
+        shapes |= {f"search:{n}": format_lsn(t.applied_lsn) for n, t in self.tables.items() if t.search_fields}
+        return {
+            "uptime_s": int(time.time() - self.started), "received_lsn": format_lsn(self.received_lsn), "applied_lsn": format_lsn(self.applied_lsn),
+            "apply_lag_bytes": lag, "apply_lag_s": lag / LAG_BYTES_PER_SECOND, "history_floor": None if self.history_floor is None else format_lsn(self.history_floor),
+            "tables": {n: {"key": list(t.key), "append_only": not t.key, "search_fields": list(t.search_fields)} for n, t in self.tables.items()},
+            "shapes": shapes, "queries": self.queries, "errors": self.errors, "last_error": self.last_error,
+            "events": [{"at_ms": at, "event": event} for at, event in self.events],
+        }
+
+
 def budget_rung(retained: int, budget: int, warn: float = 0.5, shed: float = 0.7) -> int:
     """0 below the warning share of a log budget, 1 from it, 2 from the shedding share."""
     return 2 if retained >= shed * budget else 1 if retained >= warn * budget else 0

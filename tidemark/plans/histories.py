@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.changes import versions_of
 from tidemark.plans.engine import Engine
+from tidemark.schema import ColumnSpec
+from tidemark.sources.index_store import IndexStore
+from tidemark.sources.store import TableStore
+from tidemark.storage import scratch
 
 ORDER_KEY, ORDER_COLUMNS = ["id"], ["id", "customer_id", "status", "amount_cents", "channel", "created_at"]
 EVENT_COLUMNS = ["event_id", "user_id", "event_type", "event_at", "metadata"]
@@ -80,12 +84,43 @@ def customer_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions_of(changes, ["customer_id"], ["customer_id", "tenant_id", "segment", "region"], strict=False, truncates=False)
 
 
+#: name -> (versions, applied position, columns with their type ids, key)
+HISTORIES = {
+    "orders": (order_versions, APPLIED, (("id", 20), ("customer_id", 20), ("status", 25), ("amount_cents", 20), ("channel", 25), ("created_at", 1114)), ("id",)),
+    "customers": (customer_versions, 500, (("customer_id", 20), ("tenant_id", 20), ("segment", 25), ("region", 25)), ("customer_id",)),
+    "events": (event_versions, 20_000_000, (("event_id", 20), ("user_id", 20), ("event_type", 25), ("event_at", 1114), ("metadata", 25)), ("event_id",)),
+    "documents": (document_versions, 400, (("doc_id", 20), ("text", 25)), ("doc_id",)),
+}
+_stores: dict[tuple[str, str, str], TableStore] = {}
+_indexes: dict[tuple[str, str], IndexStore] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> TableStore:
+    """A history as a stored table, written once per application and folder; all that query it scan its segments."""
+    at = (spark.sparkContext.applicationId, str(sf_dir), name)
+    if at not in _stores:
+        versions, applied, columns, key = HISTORIES[name]
+        store = TableStore(spark, scratch(spark, name)).create(f"app.{name}", [ColumnSpec(c, oid, c in key) for c, oid in columns])
+        store.append(versions(spark, sf_dir), applied)
+        _stores[at] = store
+    return _stores[at]
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> IndexStore:
+    """The index over app.documents, likewise."""
+    at = (spark.sparkContext.applicationId, str(sf_dir))
+    if at not in _indexes:
+        _indexes[at] = IndexStore(spark, scratch(spark, "index"), ["text"], separators="[^a-z0-9]+").apply(stored(spark, sf_dir, "documents"))
+    return _indexes[at]
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """Tables are written when a query first names them."""
     out = Engine(spark)
-    out.attach("app.orders", lambda: order_versions(spark, sf_dir), APPLIED, ("id",))
-    out.attach("app.customers", lambda: customer_versions(spark, sf_dir), 500, ("customer_id",))
-    out.attach("app.events", lambda: event_versions(spark, sf_dir), 20_000_000, ("event_id",))
-    return out.attach("app.documents", lambda: document_versions(spark, sf_dir), 400, ("doc_id",), ("text",))
+    for name, (_, applied, _, key) in HISTORIES.items():
+        search = {"search_fields": ("text",), "index": lambda: stored_index(spark, sf_dir)} if name == "documents" else {}
+        out.attach(f"app.{name}", lambda name=name: stored(spark, sf_dir, name), applied, key, **search)
+    return out
 
 
 def orders_sql(lsn: int) -> str:
