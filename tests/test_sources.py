@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from tidemark.config import load
 from tidemark.schema import ColumnSpec, eligibility, schema_at, schema_versions
 from tidemark.sources.copytext import parse_line, plan_ranges, read_copy
-from tidemark.sources.framelog import FrameLog, LogTail, verify_log
-from tidemark.sources.frames import Decoder, Frame, FrameError, crc32c, decode_frame, encode_frame, log_problems, parse_frames, transactions
+from tidemark.plans.engine import Engine
+from tidemark.sources.framelog import FrameLog, LogTail, read_segment, verify_log
+from tidemark.sources.frames import Decoder, Frame, FrameError, changes_of, crc32c, ddl_events, decode_frame, encode_frame, log_problems, parse_frames, transactions
 from tidemark.sources.store import CommitConflict, TableStore
 from tidemark.streaming.apply import StreamApply
+from tidemark.streaming.ingest import Ingest
 
 
 def begin(xid):
@@ -187,6 +189,72 @@ def test_stream_applies_once(spark, tmp_path):
         out.apply_batch(spark.createDataFrame([(1, 30, 1, "other", True)], schema), 78)
 
 
+def test_transactions_span_segments(spark):
+    parsed = parse_frames(spark.createDataFrame([(bytearray(encode_frame(f)),) for f in frames()], "raw binary")).cache()
+    want = [(20, 1, "I"), (30, 1, "U"), (30, 2, "I"), (30, 3, "T")]
+    for cut in ([3], [6], [2, 4, 6, 7], list(range(2, 10))):
+        inside = parsed.withColumn("segment", sum((F.when(F.col("seq") >= c, 1).otherwise(0) for c in cut), F.lit(0)))
+        assert [(r["lsn"], r["ord"], r["kind"]) for r in transactions(inside).orderBy("seq").collect()] == want
+        assert log_problems(inside).count() == 0 and [r["seq"] for r in log_problems(inside.where("seq <> 4")).collect()] == [5]
+    named = changes_of(parsed).orderBy("seq").collect()
+    assert [(r["table"], r["op"], r["new"], r["old"], r["unchanged"]) for r in named[:2]] == [
+        ("app.t", "I", {"id": "1", "name": "a"}, None, []), ("app.t", "U", {"id": "2", "name": None}, {"id": "1", "name": None}, ["name"]),
+    ]
+
+
+def test_a_log_becomes_answers_and_a_restart_in_mid_transaction_changes_nothing(spark, tmp_path):
+    specs = [ColumnSpec("id", 20, True), ColumnSpec("name", 25)]
+    ddl_relation = b"R" + struct.pack(">I", 8) + b"tidemark\0ddl_log\0d" + struct.pack(">H", 4) + b"".join(b"\0" + c + b"\0" + struct.pack(">Ii", 25, -1) for c in (b"kind", b"command_tag", b"object_identity", b"ddl_text"))
+    ddl_insert = b"I" + struct.pack(">I", 8) + b"N" + cells("ddl", "ALTER TABLE", "app.t", "ALTER TABLE app.t ...")
+    work = [
+        (10, [relation(), insert("1", "a"), insert("2", "b")]), (20, [update(("1", None), "3", ...)]), (30, [update(None, "3", ...), insert("4", None), ddl_relation, ddl_insert]),
+        (40, [b"T" + struct.pack(">IBI", 1, 0, 7), insert("9", "z")]),
+    ]
+
+    def write(log, steps, last=True):
+        for lsn, messages in steps:
+            for m in [begin(lsn), *messages]:
+                log.append(lsn, lsn, False, m)
+            if last or lsn != steps[-1][0]:
+                log.append(lsn, lsn, True, commit(lsn))
+        log.flush()
+
+    def follow(folder, root, checkpoint):
+        tables = Ingest(spark, str(root), {"app.t": specs})
+        tables.start(str(folder), str(checkpoint), availableNow=True).awaitTermination()
+        return tables
+
+    write(FrameLog(tmp_path / "whole", segment_bytes=100), work)
+    whole = follow(tmp_path / "whole", tmp_path / "a", tmp_path / "ca")
+    log = FrameLog(tmp_path / "parts", segment_bytes=150)
+    write(log, work[:2], last=False)
+    assert follow(tmp_path / "parts", tmp_path / "b", tmp_path / "cb").applied_lsn == 10
+    again = FrameLog.resume(tmp_path / "parts", 150)  # cut back to the last commit
+    write(again, work[1:])
+    parts = follow(tmp_path / "parts", tmp_path / "b", tmp_path / "cb")
+    fresh = follow(tmp_path / "parts", tmp_path / "b", tmp_path / "other")  # all of it once more
+    want = {10: {1: "a", 2: "b"}, 20: {3: "a", 2: "b"}, 30: {3: "a", 2: "b", 4: None}, 40: {9: "z"}}
+    for at, state in want.items():
+        for tables in (whole, parts, fresh):
+            assert {r["id"]: r["name"] for r in tables.stores["app.t"].at(at).collect()} == state
+    e = Engine(spark).attach("app.t", parts.stores["app.t"])
+    df, proof = e.query("SELECT count(*) AS n FROM app.t", "strong")
+    assert df.first()["n"] == 1 and proof.target_lsn == 40
+    rows = [f for p in sorted((tmp_path / "whole").glob("*.frames")) for f in read_segment(p)[0]]
+    parsed = parse_frames(spark.createDataFrame([(bytearray(encode_frame(f)),) for f in rows], "raw binary"))
+    assert [(r["lsn"], r["command_tag"], r["object_identity"]) for r in ddl_events(changes_of(parsed)).collect()] == [(30, "ALTER TABLE", "app.t")]
+
+
+def test_a_snapshot_begins_a_table(spark, tmp_path):
+    tables = Ingest(spark, str(tmp_path / "r"), {"app.t": [ColumnSpec("id", 20, True), ColumnSpec("name", 25)]})
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, name string")
+    for _ in range(2):
+        tables.snapshot("app.t", rows, 15)
+    parsed = parse_frames(spark.createDataFrame([(bytearray(encode_frame(f)),) for f in frames([begin(1), relation(), insert("1", "a"), commit(10)])], "raw binary"))
+    tables.apply_batch(parsed.withColumn("lsn_end", F.lit(10).cast("bigint")))
+    assert tables.stores["app.t"].at(14).count() == 0 and tables.stores["app.t"].at().count() == 2
+
+
 def test_config(tmp_path, monkeypatch):
     (tmp_path / "t.toml").write_text('data_dir = "d"\nflush_rows = 5\n')
     monkeypatch.setenv("TIDEMARK_LOG_BUDGET", "9")

@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.schema import ColumnSpec, from_text
 from tidemark.shipping import ship
 
-MAGIC = b"TIDE"
-_HEAD = struct.Struct(">4sQQQBI")
+MAGIC = 0x47444246
+_HEAD = struct.Struct(">IQQQBI")
 
 
 def _table() -> list[int]:
@@ -72,6 +73,20 @@ def decode_frame(data: bytes, at: int = 0) -> tuple[Frame, int]:
     return Frame(seq, start, end, bool(done), data[at + _HEAD.size : stop]), stop + 4
 
 
+def frame_end(file, at: int) -> tuple[int, int, bool, int] | None:
+    """seq, end position, whether it commits, and where the next frame begins; None for a torn or missing frame."""
+    file.seek(at)
+    head = file.read(_HEAD.size)
+    if len(head) < _HEAD.size:
+        return None
+    magic, seq, _, lsn, done, size = _HEAD.unpack(head)
+    if magic != MAGIC:
+        raise FrameError("bad magic")
+    file.seek(0, 2)
+    end = at + _HEAD.size + size + 4
+    return None if file.tell() < end else (seq, lsn, bool(done), end)
+
+
 @dataclass(frozen=True)
 class Message:
     """One replication message; ``kind`` is its tag, the rest depends on it."""
@@ -247,23 +262,121 @@ def parse_frames(frames: DataFrame) -> DataFrame:
     return frames.select("raw").mapInArrow(run, PARSED)
 
 
-def log_problems(parsed: DataFrame, segments: str = "segment") -> DataFrame:
-    """seq and problem: gaps in the sequence and commit positions that fall. ``segment`` splits the
-    windows where it exists, so a long log is not ordered in one task."""
-    split = [segments] if segments in parsed.columns else []
-    order = Window.partitionBy(*split).orderBy("seq")
-    gap = F.col("seq") - F.lag("seq").over(order)
-    fell = F.max(F.when(F.col("txn_complete"), F.col("lsn_end"))).over(order.rowsBetween(Window.unboundedPreceding, -1)) > F.col("lsn_end")
-    problem = F.when(gap != 1, "gap").when(F.col("txn_complete") & fell, "commit position falls")
-    return parsed.select("seq", problem.alias("problem")).where("problem is not null")
+#: Frames of a stretch, where a log does not say which segment a frame is in.
+STRETCH = 1 << 20
+
+
+def _segmented(parsed: DataFrame) -> DataFrame:
+    """With a column ``segment`` that rises with seq, so that no task gets a whole log."""
+    return parsed if "segment" in parsed.columns else parsed.withColumn("segment", (F.col("seq") / STRETCH).cast("bigint"))
+
+
+def _carried(parsed: DataFrame, **values) -> DataFrame:
+    """segment and, under each name, the greatest of an expression's values in all segments before: one row a segment."""
+    ends = parsed.groupBy("segment").agg(F.min("seq").alias("__first"), *[F.max(v).alias(k) for k, v in values.items()])
+    before = Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select("segment", *[F.max(k).over(before).alias(k) for k in values])
+
+
+def log_problems(parsed: DataFrame) -> DataFrame:
+    """seq and problem: gaps in the sequence and commit positions that fall, across segments too."""
+    parsed = _segmented(parsed)
+    order = Window.partitionBy("segment").orderBy("seq")
+    commit = F.when(F.col("txn_complete"), F.col("lsn_end"))
+    joined = parsed.join(F.broadcast(_carried(parsed, last_seq=F.col("seq"), last_lsn=commit)), "segment")  # one row a segment
+    before = F.coalesce(F.lag("seq").over(order), F.col("last_seq"))
+    highest = F.greatest(F.max(commit).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("last_lsn"))
+    problem = F.when(F.col("seq") - before != 1, "gap").when(F.col("txn_complete") & (highest > F.col("lsn_end")), "commit position falls")
+    return joined.select("seq", problem.alias("problem")).where("problem is not null")
 
 
 def transactions(parsed: DataFrame) -> DataFrame:
-    """Committed rows with their transaction's commit position and 1-based place; open tails wait."""
-    begins = Window.orderBy("seq") if "segment" not in parsed.columns else Window.partitionBy("segment").orderBy("seq")
-    split = ["segment"] if "segment" in parsed.columns else []
-    numbered = parsed.withColumn("txn", F.max(F.when(F.col("kind") == "B", F.col("seq"))).over(begins))
-    whole = Window.partitionBy(*split, "txn")
-    numbered = numbered.withColumn("lsn", F.max(F.when(F.col("kind") == "C", F.col("lsn_end"))).over(whole))
+    """Committed rows with their transaction's commit position and 1-based place; open tails wait.
+
+    A row belongs to the last begin before it. Segments are ordered on their own; the begin that is still open
+    at a segment's end is carried into the next, so a transaction may span any number of them.
+    """
+    parsed = _segmented(parsed)
+    begin = F.when(F.col("kind") == "B", F.col("seq"))
+    order = Window.partitionBy("segment").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    joined = parsed.join(F.broadcast(_carried(parsed, open_at=begin)), "segment")  # one row a segment
+    numbered = joined.withColumn("txn", F.coalesce(F.max(begin).over(order), F.col("open_at"))).drop("open_at")
+    numbered = numbered.withColumn("lsn", F.max(F.when(F.col("kind") == "C", F.col("lsn_end"))).over(Window.partitionBy("txn")))
     changes = numbered.where("lsn is not null and kind in ('I', 'U', 'D', 'T')")
-    return changes.withColumn("ord", F.row_number().over(Window.partitionBy(*split, "txn").orderBy("seq")))
+    return changes.withColumn("ord", F.row_number().over(Window.partitionBy("txn").orderBy("seq")))
+
+
+CHANGES = (
+    "lsn bigint, ord int, seq bigint, table string, op string, new map<string, string>, old map<string, string>, old_kind string, unchanged array<string>"
+)
+#: Descriptions of relations (one each time a shape is first used) that the driver will hold.
+MOST_SHAPES = 100_000
+
+
+def changes_of(parsed: DataFrame, known: list[Message] | None = None) -> DataFrame:
+    """Committed changes of parsed frames, one row a change and table: the whole way from a log to named values.
+
+    ``known``: descriptions from before these frames. A change takes the newest description of its relation
+    before it; the descriptions, few and bounded by ``MOST_SHAPES``, travel to the workers.
+    """
+    ship(parsed.sparkSession)
+    found = parsed.where("kind = 'R'").select("seq", "message").limit(MOST_SHAPES + 1).collect()
+    if len(found) > MOST_SHAPES:
+        raise FrameError("too many relation descriptions in one batch")
+    shapes: dict[int, list[tuple[int, Message]]] = {}
+    for m in known or []:
+        shapes.setdefault(m.relid, []).append((-1, m))
+    for r in sorted(found, key=lambda r: r["seq"]):
+        m = parse_message(bytes(r["message"]))
+        shapes.setdefault(m.relid, []).append((r["seq"], m))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                m = parse_message(row["message"])
+                for n, relid in enumerate(m.relids or (m.relid,)):
+                    of = [s for seq, s in shapes.get(relid, []) if seq < row["seq"]]
+                    if not of:
+                        raise FrameError(f"a change to relation {relid} before its description")
+                    out.append(_named(m, of[-1]) | {"lsn": row["lsn"], "ord": row["ord"] + n, "seq": row["seq"]})
+            yield pa.RecordBatch.from_pylist(out, _ARROW)
+
+    spaced = transactions(parsed).select("lsn", (F.col("ord") * 1024).alias("ord"), "seq", "message")  # room for a truncate of many tables
+    return spaced.mapInArrow(run, CHANGES)
+
+
+_TEXTS = pa.map_(pa.string(), pa.string())
+_ARROW = pa.schema(
+    [("lsn", pa.int64()), ("ord", pa.int32()), ("seq", pa.int64()), ("table", pa.string()), ("op", pa.string()), ("new", _TEXTS), ("old", _TEXTS), ("old_kind", pa.string()), ("unchanged", pa.list_(pa.string()))]
+)
+
+
+def _named(m: Message, shape: Message) -> dict:
+    names = [c for c, _, _ in shape.columns]
+    for cells in (m.new, m.old):
+        if cells is not None and len(cells) != len(names):
+            raise FrameError(f"{shape.name} has {len(names)} columns, its change {len(cells)}")
+        if any(kind == "b" for kind, _ in cells or ()):
+            raise FrameError(f"a binary value in {shape.name}")
+    image = lambda cells: None if cells is None else [(c, v) for c, (_, v) in zip(names, cells, strict=True)]
+    unchanged = [c for c, (kind, _) in zip(names, m.new or [("n", None)] * len(names), strict=True) if kind == "u"]
+    return {"table": shape.name, "op": m.kind, "new": image(m.new), "old": image(m.old), "old_kind": m.old_kind, "unchanged": unchanged}
+
+
+def table_changes(changes: DataFrame, name: str, specs: list[ColumnSpec]) -> DataFrame:
+    """One table's changes in the form that versions are made from: typed columns, ``old_`` keys, unchanged."""
+    mine = changes.where((F.col("table") == name) | F.col("table").isNull())
+    strange = F.array_except(F.map_keys("new"), F.array(*[F.lit(s.name) for s in specs]))
+    drift = F.when(F.size(strange) > 0, F.raise_error(F.concat(F.lit(f"the shape of {name} has changed: "), F.array_join(strange, ", "))))
+    of = lambda image, s: from_text(F.col(image)[s.name], s)
+    values = [F.when(F.col("op") == "D", of("old", s)).otherwise(of("new", s)).alias(s.name) for s in specs]
+    old = [F.when(F.col("op") == "U", of("old", s)).alias(f"old_{s.name}") for s in specs if s.is_key]
+    unchanged = F.when(drift.isNull(), F.col("unchanged"))
+    return mine.select("lsn", "ord", "op", *values, *old, unchanged.alias("unchanged"))
+
+
+def ddl_events(changes: DataFrame, log_table: str = "tidemark.ddl_log") -> DataFrame:
+    """Schema statements that the source records as inserts into a table of its own; the inserts stay changes too."""
+    wanted = ("kind", "command_tag", "object_identity", "ddl_text")
+    return changes.where((F.col("table") == log_table) & (F.col("op") == "I")).select("lsn", "ord", *[F.col("new")[c].alias(c) for c in wanted])
