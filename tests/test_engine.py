@@ -2,12 +2,13 @@ import datetime as dt
 import hashlib
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from tidemark.functions import generator as G
 from tidemark.functions import measure as M
-from tidemark.functions.ledger import Ledger, LedgerError, Oracle, ReplayMap, canonical_digest, multiset_hash
+from tidemark.functions.ledger import Ledger, LedgerError, Oracle, ReplayMap, canonical_digest, checkpoint, multiset_hash
 from tidemark.lsn import HEAD
 from tidemark.operators.search import parse_query, search
 from tidemark.plans import histories as H
@@ -127,7 +128,7 @@ def test_engine_names_functions_as_queries_do(spark, sf_dir):
 
 
 def test_generator(spark):
-    assert int(G.mix64(0)) == 0 and int(G.mix64(1)) == 0x5692161D100B05E5
+    assert int(G.mix64(0)) == 0xE220A8397B1DCDAF and int(G.mix64(np.uint64(0x61C8864680B583EC))) == 0x5692161D100B05E5
     rows = G.rows("orders", range(400), 5)
     assert rows == G.rows("orders", range(400), 5) != G.rows("orders", range(400), 6)
     tenants = set(G.rows("tenants", range(20), 5)["tenant_id"])
@@ -136,19 +137,50 @@ def test_generator(spark):
     assert got == rows["order_id"]
     ops = [G.operation(k) for k in range(5000)]
     assert [sum(o == x for o, _ in ops) for x in ("insert", "update", "delete")] == [4500, 400, 100]
-    sizes = G.transaction_rows(range(1000)).tolist()
-    assert [sizes.count(n) for n in (1, 10, 100, 1000)] == [950, 40, 9, 1]
+    sizes = G.transaction_rows(range(10_000)).tolist()
+    assert [sizes.count(n) for n in (1, 10, 100, 1000)] == [9500, 400, 90, 10]
+    assert {t: list(G.rows(t, [0], 5)) for t in ("customers", "orders")}["customers"][3] == "email_domain" and set(G.long_tail_cents([0] * 2400, range(2400))) == set(range(100, 2500))
+    events, orders = G.rows("order_events", range(600), 5), G.rows("orders", range(200), 5)
+    tenant_of = dict(zip(orders["order_id"], orders["tenant_id"], strict=True))
+    assert all(tenant_of[o] == t for o, t in zip(events["order_id"], events["tenant_id"], strict=True))
     assert max(G.zipf_rank(range(100_000)).tolist()) == 64
     b = G.TokenBucket(10, 5)
     assert b.take(5, 0) == 0 and b.take(1, 0) == pytest.approx(0.1)
 
 
+def test_parameters_render_and_load(spark, tmp_path):
+    p = G.query_parameters(7, 3, 1000)
+    assert p == G.query_parameters(7, 3, 1000) != G.query_parameters(7, 4, 1000) and len(p["tenant_set"]) == 8 and p["tenant_set"][0] == p["tenant_id"]
+    text = G.render_sql("SELECT ':tenant_id', CAST(:window_end - INTERVAL '7' DAY AS STRING) AS w WHERE 5 IN (:tenant_set) OR true AND 1 < :tenant_id", p)
+    assert "':tenant_id'" in text and ":window" not in text and spark.sql(text).count() == 1
+    with pytest.raises(ValueError, match="unresolved"):
+        G.render_sql("SELECT :other", p)
+    got = G.load_until(spark, str(tmp_path / "d"), 5, 60_000, step=20)
+    assert {t: spark.read.parquet(str(tmp_path / "d" / t)).count() for t in G.TABLES} == got and got["orders"] == 20 * got["tenants"]
+    assert spark.read.parquet(str(tmp_path / "d/orders")).select("order_id").distinct().count() == got["orders"]
+    hashes = G.batch_hashes(G.generate(spark, "tenants", 3, 5), "tenant_id", 200).orderBy("batch").collect()
+    lines = ["\t".join(map(str, r)) + "\n" for r in zip(*G.rows("tenants", range(3), 5).values(), strict=True)]
+    assert [r["sha256"] for r in hashes] == [hashlib.sha256("".join(x).encode()).hexdigest() for x in (lines[:2], lines[2:])]
+
+
+def test_checkpoints_compare_and_always_resume():
+    seen = []
+    ok = lambda lsn: {"q1": f"d{lsn}"}
+    run = lambda **engines: checkpoint(lambda: seen.append("pause"), lambda: 40, ok, engines, lambda d: seen.append(d["lsn"]), lambda: seen.append("resume"))
+    assert run(a=ok, b=ok)["engines"] == ["a", "b"] and seen == ["pause", 40, "resume"]
+    with pytest.raises(LedgerError, match="b differs at 40 in q1"):
+        run(a=ok, b=lambda lsn: {"q1": "other"})
+    assert seen == ["pause", 40, "resume", "pause", "resume"]
+
+
 def test_rules():
     assert (M.percentile([1, 2, 3, 4, 100], 0.5), M.percentile([1, 2, 3, 4, 100], 0.95), M.percentile([0], 0.5)) == (3, 100, 1)
     assert M.rounded_percentile([1, 2, 3, 4], 0.5) == 3
     assert [M.cell(a, (1000, 1000)).value for a in ((940, 990), (1000, 1020), (940, 1100), (1100, 1100))] == ["win", "tie", "conflict", "loss"]
-    cells = dict(zip("abcde", [M.Verdict.WIN] * 4 + [M.Verdict.TIE], strict=True))
-    assert M.scorecard(cells, 0.9, 0.8) and not M.scorecard(cells, 0.91, 0.8) and not M.scorecard(cells | {"e": M.Verdict.LOSS}, 0.9, 0.8)
+    assert M.cell((0, 0), (0, 0)) is M.Verdict.TIE and M.cell((1000, 1050), (1000, 1000)) is M.Verdict.CONFLICT and M.cell((1000, 1049), (1000, 1000)) is M.Verdict.TIE
+    cells = dict(zip(("q1", "q2", "q3", "q4", "q5"), [M.Verdict.WIN] * 4 + [M.Verdict.TIE], strict=True))
+    assert M.scorecard(cells, 0.9, 0.8) and not M.scorecard(cells, 0.91, 0.8) and not M.scorecard(cells | {"q5": M.Verdict.LOSS}, 0.9, 0.8)
+    assert not M.scorecard(dict(zip("abcde", cells.values(), strict=True)), 0.9, 0.8)
     short = M.Interval(90, 100, 10, 0)
     assert M.stop_reason([short] * 2) is None and M.stop_reason([short] * 3) == "rate"
     assert M.stop_reason([M.Interval(100, 100, 10, (11 << 30) + k) for k in range(3)]) == "backlog"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,24 +17,35 @@ from tidemark.shipping import ship
 TABLES = ("tenants", "customers", "orders", "order_events")
 #: Rows of a cycle; the ids of cycle c begin at c * 100.
 PER_CYCLE = {"tenants": 1, "customers": 5, "orders": 20, "order_events": 60}
-_TAG = {t: np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1) for k, t in enumerate(TABLES)}
+_TAG = {t: np.uint64(k) for k, t in enumerate(TABLES, 1)}
+
+
+def _choices(text: str) -> tuple[tuple[str, int], ...]:
+    parts = text.split()
+    return tuple(zip(parts[::2], map(int, parts[1::2]), strict=True))
+
+
+#: Values by weight.
 WEIGHTED = {
-    "region": (("north", 40), ("south", 30), ("east", 20), ("west", 10)),
-    "plan": (("basic", 60), ("plus", 30), ("max", 10)),
-    "segment": (("home", 55), ("office", 35), ("public", 10)),
-    "status": (("open", 20), ("paid", 55), ("sent", 20), ("void", 5)),
-    "channel": (("web", 50), ("phone", 35), ("shop", 15)),
-    "event": (("made", 40), ("paid", 30), ("packed", 20), ("returned", 10)),
+    "region": _choices("us-east 46 us-west 27 eu-west 18 ap-south 9"),
+    "plan": _choices("free 70 pro 23 enterprise 7"),
+    "segment": _choices("consumer 55 smb 29 mid-market 12 enterprise 4"),
+    "domain": _choices("example.com 58 mail.test 25 corp.test 12 acme.test 5"),
+    "status": _choices("paid 46 shipped 27 pending 15 cancelled 8 refunded 4"),
+    "channel": _choices("web 61 mobile 31 partner 8"),
+    "event": _choices("created 42 paid 30 fulfilled 17 cancelled 7 returned 4"),
 }
-#: Long-tailed amounts in cents: (weight, least, most).
-CENTS = ((55, 100, 2_000), (27, 2_000, 10_000), (12, 10_000, 50_000), (5, 50_000, 250_000), (1, 250_000, 2_000_000))
+#: Long-tailed amounts in cents: (weight, least, most), both included; and lengths of labels: (weight, length).
+CENTS = ((55, 100, 2_499), (27, 2_500, 9_999), (12, 10_000, 49_999), (5, 50_000, 249_999), (1, 250_000, 2_000_000))
+LABELS = ((55, 3), (27, 16), (12, 64), (6, 128))
 ZIPF_RANKS = 64
+YEAR = 31_536_000
 
 
 def mix64(z):
-    """The splitmix64 finaliser, wrapping at 64 bits."""
+    """A step of splitmix64, wrapping at 64 bits."""
     with np.errstate(over="ignore"):
-        z = np.asarray(z, np.uint64)
+        z = np.asarray(z, np.uint64) + np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return z ^ (z >> np.uint64(31))
@@ -57,13 +69,14 @@ def long_tail_cents(bucket, value) -> np.ndarray:
     edges = np.cumsum([w for w, _, _ in CENTS])
     k = np.searchsorted(edges, np.asarray(bucket, np.uint64) % np.uint64(edges[-1]), side="right")
     low, high = (np.array([c[j] for c in CENTS], np.uint64)[k] for j in (1, 2))
-    return (low + np.asarray(value, np.uint64) % (high - low)).astype(np.int64)
+    return (low + np.asarray(value, np.uint64) % (high - low + np.uint64(1))).astype(np.int64)
 
 
-def zipf_rank(values, ranks: int = ZIPF_RANKS) -> np.ndarray:
-    """1..ranks with weights 10000 / rank."""
-    edges = np.cumsum(10_000 // np.arange(1, ranks + 1, dtype=np.uint64))
-    return np.searchsorted(edges, np.asarray(values, np.uint64) % edges[-1], side="right").astype(np.int64) + 1
+def zipf_rank(values, ranks=ZIPF_RANKS) -> np.ndarray:
+    """1..ranks with weights 10000 / rank; ``ranks`` may differ from value to value."""
+    edges = np.cumsum(10_000 // np.arange(1, ZIPF_RANKS + 1, dtype=np.uint64))
+    total = edges[np.asarray(ranks, np.int64) - 1]
+    return np.searchsorted(edges, np.asarray(values, np.uint64) % total, side="right").astype(np.int64) + 1
 
 
 def pseudo_timestamp(seconds) -> list[str]:
@@ -82,30 +95,49 @@ def ids_of(table: str, index) -> np.ndarray:
     return index // n * 100 + index % n + 1
 
 
+def _cycle(ids: np.ndarray) -> np.ndarray:
+    return (ids - 1) // 100
+
+
+def _metadata(values, kind: str) -> list[str]:
+    length = np.searchsorted(np.cumsum([w for w, _ in LABELS]), (values % np.uint64(100)).astype(int), side="right")
+    ranks = zipf_rank(values)
+    out = []
+    for v, n, r in zip(values.tolist(), length.tolist(), ranks.tolist(), strict=True):
+        made = {"kind": kind, "payload": v % 1000, "schema_version": 1, "tags": {"bucket": v % 8, "label": "x" * LABELS[n][1]}}
+        out.append(json.dumps(made | ({"activity_rank": r} if kind == "tenant" else {}), sort_keys=True, separators=(",", ":")))
+    return out
+
+
 def rows(table: str, index, seed: int) -> dict[str, list]:
-    """Columns of rows by their index; every foreign key points to a row of the same cycle or an earlier tenant."""
-    index = np.asarray(index, np.int64)
-    ids, cycle = ids_of(table, index), index // PER_CYCLE[table]
+    """Columns of rows by their index. A foreign key points to a row of its own cycle, a tenant to one of the first
+    64 that are loaded; orders and events have the tenant of their customer. Times crowd towards the recent end."""
+    ids = ids_of(table, index)
     d = lambda salt: draw(seed, table, ids, salt)
-    made = 1_609_459_200 + (d(9) % np.uint64(31_536_000)).astype(np.int64)
-    label = np.array([3, 16, 64, 128])[(d(7) % np.uint64(4)).astype(int)]
-    extra = [json.dumps({"label": "x" * int(n), "rank": int(r)}, sort_keys=True) for n, r in zip(label, d(8) % np.uint64(100), strict=True)]
-    tenant = (np.minimum(zipf_rank(d(1)) - 1, cycle)) * 100 + 1
+    age = (d(2) % np.uint64(YEAR)).astype(np.int64)
+    created = 1_609_459_200 + YEAR - age * age // YEAR
+    at = pseudo_timestamp(created)
+    pick = lambda salt, name: weighted(d(salt), WEIGHTED[name]).tolist()
     if table == "tenants":
-        return {"tenant_id": ids.tolist(), "region": weighted(d(2), WEIGHTED["region"]).tolist(), "plan": weighted(d(3), WEIGHTED["plan"]).tolist(), "created_at": pseudo_timestamp(made), "settings": extra}
+        return {"tenant_id": ids.tolist(), "region": pick(3, "region"), "plan": pick(4, "plan"), "created_at": at, "settings": _metadata(d(5), "tenant")}
+    order = ids if table == "orders" else _cycle(ids) * 100 + 1 + (d(3) % np.uint64(20)).astype(np.int64)
+    customer = ids if table == "customers" else _cycle(order) * 100 + 1 + (draw(seed, "orders", order, 7) % np.uint64(5)).astype(np.int64)
+    tenant = (zipf_rank(draw(seed, "customers", customer, 11), np.minimum(_cycle(customer) + 1, ZIPF_RANKS)) - 1) * 100 + 1
     if table == "customers":
-        return {"customer_id": ids.tolist(), "tenant_id": tenant.tolist(), "segment": weighted(d(2), WEIGHTED["segment"]).tolist(), "created_at": pseudo_timestamp(made), "profile": extra}
+        return {
+            "customer_id": ids.tolist(), "tenant_id": tenant.tolist(), "segment": pick(3, "segment"), "email_domain": pick(4, "domain"),
+            "profile": _metadata(d(5), "customer"), "created_at": at,
+        }
     if table == "orders":
         return {
-            "order_id": ids.tolist(), "tenant_id": tenant.tolist(), "customer_id": (cycle * 100 + 1 + (d(4) % np.uint64(5)).astype(np.int64)).tolist(),
-            "status": weighted(d(2), WEIGHTED["status"]).tolist(), "channel": weighted(d(3), WEIGHTED["channel"]).tolist(),
-            "amount_cents": long_tail_cents(d(5), d(6)).tolist(), "created_at": pseudo_timestamp(made), "attributes": extra,
+            "order_id": ids.tolist(), "tenant_id": tenant.tolist(), "customer_id": customer.tolist(), "status": pick(3, "status"), "channel": pick(4, "channel"),
+            "amount_cents": long_tail_cents(d(5), d(9)).tolist(), "created_at": at, "updated_at": pseudo_timestamp(created + (d(6) % np.uint64(86_400)).astype(np.int64)),
+            "attributes": _metadata(d(8), "order"),
         }
-    order = cycle * 100 + 1 + (d(4) % np.uint64(20)).astype(np.int64)
-    return {"event_id": ids.tolist(), "order_id": order.tolist(), "event_type": weighted(d(2), WEIGHTED["event"]).tolist(), "event_at": pseudo_timestamp(made), "metadata": extra}
+    return {"event_id": ids.tolist(), "order_id": order.tolist(), "tenant_id": tenant.tolist(), "event_type": pick(4, "event"), "event_at": at, "metadata": _metadata(d(5), "event")}
 
 
-def generate(spark: SparkSession, table: str, cycles: int, seed: int) -> DataFrame:
+def generate(spark: SparkSession, table: str, cycles: int, seed: int, first: int = 0) -> DataFrame:
     """The table's rows, made where they are used: a range split over the cluster, no data shipped."""
     ship(spark)
     example = rows(table, [0], seed)
@@ -115,23 +147,47 @@ def generate(spark: SparkSession, table: str, cycles: int, seed: int) -> DataFra
         for batch in batches:
             yield pa.RecordBatch.from_pydict(rows(table, batch.column(0).to_numpy(), seed))
 
-    return spark.range(cycle_ranges(cycles)[table][1]).mapInArrow(run, schema)
+    return spark.range(first * PER_CYCLE[table], (first + cycles) * PER_CYCLE[table]).mapInArrow(run, schema)
+
+
+def load_until(spark: SparkSession, path: str, seed: int, least_bytes: int, step: int = 1000) -> dict[str, int]:
+    """Write whole cycles of every table under ``path`` until they take ``least_bytes``; rows by table.
+
+    The size is measured after each round; rounds grow to about a sixteenth of the goal, so there are few."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = lambda: fs.getContentSummary(target).getLength() if fs.exists(target) else 0
+    done = 0
+    while (held := size()) < least_bytes:
+        if done:
+            step = max(1, int(done * max(1.0, least_bytes / 16) / max(held, 1)))
+        for t in TABLES:
+            generate(spark, t, step, seed, done).write.mode("append").parquet(f"{path}/{t}")
+        done += step
+    return {t: n for t, (_, n) in cycle_ranges(done).items()}
 
 
 def batch_hashes(df: DataFrame, order: str, size: int = 100_000) -> DataFrame:
-    """batch, rows and sha256 of bulk-load batches of at most ``size`` consecutive ids."""
-    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns])
-    lines = df.select((F.col(order) / size).cast("bigint").alias("batch"), F.struct(F.col(order).alias("at"), line.alias("line")).alias("x"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")
-    return lines.groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.sha2(text, 256).alias("sha256"))
+    """batch, rows and sha256 of bulk-load batches of at most ``size`` consecutive ids: tab-separated lines, escaped."""
+    text = lambda c: F.col(c).cast("string")
+    for raw, mark in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+        text = lambda c, inner=text, raw=raw, mark=mark: F.replace(inner(c), F.lit(raw), F.lit(mark))
+    line = F.concat(F.concat_ws("\t", *[F.coalesce(text(c), F.lit("\\N")) for c in df.columns]), F.lit("\n"))
+    lines = df.select(((F.col(order) - 1) / size).cast("bigint").alias("batch"), F.struct(F.col(order).alias("at"), line.alias("line")).alias("x"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "")
+    return lines.groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.sha2(whole, 256).alias("sha256"))
 
 
 # Workload
 
 def transaction_rows(values) -> np.ndarray:
-    """Rows of a transaction: 95 % one, 4 % ten, 0.9 % a hundred, 0.1 % a thousand."""
-    x = np.asarray(values, np.uint64) % np.uint64(1000)
-    return np.select([x < 950, x < 990, x < 999], [1, 10, 100], 1000)
+    """Rows of a transaction by its draw: 95 % one, 4 % ten, 0.9 % a hundred, 0.1 % a thousand."""
+    x = np.asarray(values, np.uint64) % np.uint64(10_000)
+    return np.select([x < 9500, x < 9900, x < 9990], [1, 10, 100], 1000)
+
+
+def transaction_size(seed: int, sequence) -> np.ndarray:
+    return transaction_rows(mix64(np.uint64(seed) ^ _rotl(np.asarray(sequence, np.uint64), 17)))
 
 
 def operation(k: int) -> tuple[str, str]:
@@ -153,6 +209,30 @@ def schedule(seed: int, ordinal: int, queries: int = 5) -> int:
     return int(mix64(np.uint64(seed ^ ordinal)) % np.uint64(queries))
 
 
+def query_parameters(seed: int, sequence: int, lsn: int) -> dict:
+    """What the five queries ask at a checkpoint, whatever the clock says."""
+    tenant = lambda n: 1 + int(mix64(np.uint64(seed ^ n)) % np.uint64(10_000))
+    end = 1_609_459_200 + int(mix64(np.uint64(seed ^ sequence ^ lsn)) % np.uint64(YEAR))
+    return {"window_end": end, "tenant_id": tenant(sequence), "tenant_set": [tenant(sequence + k) for k in range(8)]}
+
+
+_PARAMETER = re.compile(r"'(?:[^']|'')*'|::|:([A-Za-z_]\w*)")
+
+
+def render_sql(sql: str, parameters: dict) -> str:
+    """Named parameters (:window_end, :tenant_id, :tenant_set) as literals; one that is unknown is an error."""
+
+    def put(m: re.Match) -> str:
+        if m[1] is None:
+            return m[0]
+        if m[1] not in parameters:
+            raise ValueError(f"unresolved named parameter :{m[1]}")
+        v = parameters[m[1]]
+        return f"timestamp_seconds({v})" if m[1] == "window_end" else ", ".join(map(str, v)) if isinstance(v, list) else str(v)
+
+    return _PARAMETER.sub(put, sql)
+
+
 class TokenBucket:
     """Permits at a rate; ``take`` returns the seconds to wait, by the caller's clock."""
 
