@@ -255,8 +255,9 @@ def test_a_snapshot_begins_a_table(spark, tmp_path):
     assert tables.stores["app.t"].at(14).count() == 0 and tables.stores["app.t"].at().count() == 2
 
 
-def test_config(tmp_path, monkeypatch):
+def test_config(spark, tmp_path, monkeypatch):
     (tmp_path / "t.toml").write_text('data_dir = "d"\nflush_rows = 5\n')
     monkeypatch.setenv("TIDEMARK_LOG_BUDGET", "9")
     c = load(tmp_path / "t.toml")
     assert (c.data_dir, c.flush_rows, c.log_budget_bytes) == (tmp_path.resolve() / "d", 5, 9)
+    assert [c.rung(n) for n in (4, 5, 7)] == [0, 1, 2] and c.ingest(spark, {}).stores == {}

@@ -20,6 +20,18 @@ class Config:
     default_class: str = "eventual"
     history_days: int = 7
 
+    def ingest(self, spark, tables):
+        """Tables under the data folder that follow a log, flushed as configured."""
+        from tidemark.streaming.ingest import Ingest
+
+        return Ingest(spark, str(self.data_dir), tables, flush_rows=self.flush_rows)
+
+    def rung(self, retained: int) -> int:
+        """How far a log of this size has used up its budget."""
+        from tidemark.plans.engine import budget_rung
+
+        return budget_rung(retained, self.log_budget_bytes, self.warn_share, self.shed_share)
+
 
 def load(path: str | Path) -> Config:
     raw = tomllib.loads(Path(path).read_text())

@@ -29,11 +29,16 @@ class StreamApply:
         return self.spark.read.schema("lsn bigint, sha256 string, batch bigint").parquet(f"{self.path}/markers")
 
     def apply_batch(self, batch: DataFrame, batch_id: int) -> None:
-        done = self.applied().where(F.col("batch") != batch_id)
-        transactions = unapplied(batch.select("lsn", "sha256").distinct(), done)
-        rows = batch.join(transactions.select("lsn"), "lsn", "left_semi")
-        rows.write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch_id}")
-        transactions.write.mode("overwrite").parquet(f"{self.path}/markers/batch={batch_id}")  # the commit point
+        batch = batch.persist()
+        try:
+            low, high = batch.agg(F.min("lsn"), F.max("lsn")).first()
+            done = self.applied().where((F.col("batch") != batch_id) & F.col("lsn").between(low, high))  # the others' row groups are skipped
+            transactions = unapplied(batch.select("lsn", "sha256").distinct(), done)
+            rows = batch.join(transactions.select("lsn"), "lsn", "left_semi")
+            rows.write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch_id}")
+            transactions.write.mode("overwrite").parquet(f"{self.path}/markers/batch={batch_id}")  # the commit point
+        finally:
+            batch.unpersist()
 
     def start(self, source: DataFrame, checkpoint: str, **trigger):
         """``trigger``: of writeStream, such as availableNow=True or processingTime="250 milliseconds"."""
@@ -47,7 +52,7 @@ class StreamApply:
 
         full = StructType.fromDDL(self.schema + ", batch bigint")
         marked = self.applied().select("batch").distinct()
-        return self.spark.read.schema(full).parquet(f"{self.path}/rows").join(F.broadcast(marked), "batch", "left_semi").drop("batch")
+        return self.spark.read.schema(full).parquet(f"{self.path}/rows").join(marked, "batch", "left_semi").drop("batch")
 
     def applied_lsn(self) -> int:
         return self.applied().agg(F.max("lsn")).first()[0] or 0

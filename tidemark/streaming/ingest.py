@@ -97,11 +97,11 @@ def snapshot_versions(rows: DataFrame, lsn: int) -> DataFrame:
 class Ingest:
     """Tables under ``root`` that follow a frame log: {name: columns}."""
 
-    def __init__(self, spark: SparkSession, root: str, tables: dict[str, list[ColumnSpec]], strict: bool = True) -> None:
+    def __init__(self, spark: SparkSession, root: str, tables: dict[str, list[ColumnSpec]], strict: bool = True, flush_rows: int = 100_000) -> None:
         self.spark, self.strict, self.stores = spark, strict, {}
         self.shapes: list[Message] = []
         for name, columns in tables.items():
-            store = TableStore(spark, f"{root.rstrip('/')}/{name}")
+            store = TableStore(spark, f"{root.rstrip('/')}/{name}", flush_rows)
             self.stores[name] = store if store.columns else store.create(name, columns)
 
     def snapshot(self, name: str, rows: DataFrame, lsn: int) -> None:
@@ -115,7 +115,7 @@ class Ingest:
         try:
             last = parsed.where("kind = 'C'").agg(F.max("lsn_end")).first()[0]
             if last is not None:
-                changes = changes_of(parsed, self._known(parsed)).persist()
+                changes = changes_of(parsed, self.shapes).persist()
                 for name, store in self.stores.items():
                     if store.applied_lsn < last:
                         store.apply(table_changes(changes, name, store.columns), last, self.strict)
@@ -124,9 +124,6 @@ class Ingest:
         finally:
             parsed.unpersist()
 
-    def _known(self, parsed: DataFrame) -> list[Message]:
-        return self.shapes
-
     def _remember(self, parsed: DataFrame) -> None:
         for r in parsed.where("kind = 'R'").orderBy("seq").select("message").collect():  # shapes, bounded as in changes_of
             self.shapes.append(parse_message(bytes(r["message"])))
