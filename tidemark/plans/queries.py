@@ -13,6 +13,7 @@ from tidemark.lsn import format_lsn, lsn_column, lsn_text
 from tidemark.operators import changes as C
 from tidemark.operators import versions as V
 from tidemark.operators.search import search
+from tidemark.plans import generated_sql
 from tidemark.plans import histories as H
 from tidemark.schema import ColumnSpec, as_of_join, schema_at, schema_versions
 from tidemark.sources.store import TableStore
@@ -396,14 +397,14 @@ def o12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return freshness(at, H.table(spark, sf_dir, "events").select("ts", F.col("event_id").alias("id")))
 
 
-@query("n3_generated_orders")
+@query("n3_generated_orders", generated_sql.orders(200, 20260901))
 def n3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generator.generate(spark, "orders", 200, 20260901)
 
 
-@query("n9_batch_hashes")
+@query("n9_batch_hashes", generated_sql.order_batches(100, 20260901, 2000))
 def n9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generator.batch_hashes(generator.generate(spark, "order_events", 100, 20260901), "event_id", 2000)
+    return generator.batch_hashes(generator.generate(spark, "orders", 100, 20260901), "order_id", 2000)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
