@@ -361,6 +361,20 @@ def test_personal_data(spark):
     assert clean["text"] == 'x token = "[SECRET]" y' and clean["n_chars"] == len(clean["text"]) and clean["digest"] == "clash"
 
 
+def test_secrets_are_found_behind_their_cues_and_nowhere_else(spark):
+    cue = re.compile(r"(?i)\b(?:password|passwd|token|secret|api[_-]?key|key|pwd)\b\s*[=:]\s*[\"']?([^\s\"']{6,})")
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    found = wanted = 0
+    for at in range(0, len(texts), 256):
+        part = texts[at : at + 256]
+        for text, (_, spans) in zip(part, pii.all_spans(part), strict=True):
+            secrets = {(a, b) for a, b, k in spans if pii.KINDS[k] == "secret"}
+            want = {m.span(1) for m in cue.finditer(text)}
+            assert secrets <= want
+            found, wanted = found + len(secrets), wanted + len(want)
+    assert wanted > 100 and found >= 0.98 * wanted
+
+
 def brute_measures(text):
     words = re.findall(r"[^\x20\x09-\x0d]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]

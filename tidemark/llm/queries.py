@@ -15,7 +15,7 @@ from tidemark.llm.quality_rules import op7_quality_rules
 from tidemark.llm.sentence_pieces import op2_sentence_pieces
 from tidemark.llm.token_counts import op8_token_counts
 from tidemark.llm.toxicity import op10_toxicity
-from tidemark.llm.url_filters import OP9_SQL, op9_url_filters
+from tidemark.llm.url_filters import FIXTURE_SQL, OP9_SQL, fixture_host_reputation, op9_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,8 +30,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_url_filters": op9_url_filters,
         "op10_toxicity": op10_toxicity,
+        "fixture_host_reputation": fixture_host_reputation,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op5_minhash_dedup": OP5_SQL, "op9_url_filters": OP9_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op5_minhash_dedup": OP5_SQL, "op9_url_filters": OP9_SQL, "fixture_host_reputation": FIXTURE_SQL}

@@ -151,7 +151,7 @@ h0 AS (SELECT host, count(*) AS n, sum(bad) AS bad FROM split JOIN marks USING (
 h AS (
   SELECT *, regexp_extract(domain, '([^.]*)$', 1) AS suffix FROM (
     SELECT *, regexp_extract(host, '((?:[^.]+\.)?(?:(?:co|com|org|net|ac|gov|edu)\.)[a-z]{2}|[^.]+\.[^.]+|[^.]*)$', 1) AS domain FROM h0)),
-t AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2)::DOUBLE AS overall FROM h),
+t AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2)::DOUBLE AS overall, count(*) > 0 AS any_label FROM h),
 s AS (SELECT suffix, (sum(bad) + 20.0::DOUBLE * any_value(overall)) / (sum(n) + 20.0::DOUBLE) AS m FROM h, t GROUP BY suffix),
 d0 AS (SELECT domain, suffix, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM h GROUP BY domain, suffix),
 d1 AS (SELECT d0.*, s.m FROM d0 JOIN s USING (suffix)),
@@ -165,8 +165,16 @@ hs AS (SELECT sum(n) AS total, sum(n * n) AS sq, count(*) AS units, sum(n * (bad
 hk AS (
   SELECT round(coalesce(CASE WHEN rho > 0 THEN least(200.0::DOUBLE, greatest(2.0::DOUBLE, 1 / rho - 1)) ELSE 200.0::DOUBLE END, 200.0), 6) AS k FROM (
     SELECT CASE WHEN total * total > sq AND base > 0 THEN (spread - (units - 1) * base) / (total - sq / total) / base END AS rho FROM hs)),
-post AS (SELECT host, (bad + k * m) / (n + k) AS mean, n + k AS weight FROM h1, hk),
-blocked AS (SELECT host FROM post WHERE round(mean - 1.64 * sqrt(mean * (1 - mean) / (weight + 1)), 9) > 0.3),
+every AS (
+  SELECT *, regexp_extract(domain, '([^.]*)$', 1) AS suffix FROM (
+    SELECT DISTINCT host, regexp_extract(host, '((?:[^.]+\.)?(?:(?:co|com|org|net|ac|gov|edu)\.)[a-z]{2}|[^.]+\.[^.]+|[^.]*)$', 1) AS domain FROM split)),
+prior AS (
+  SELECT e.host, coalesce(h.n, 0)::DOUBLE AS n, coalesce(h.bad, 0)::DOUBLE AS bad, d.dm, coalesce(d.dm, s.m) AS known, coalesce(d.dm, s.m, overall) AS m, hk.k AS k, dk.k AS kd, any_label
+  FROM every e LEFT JOIN h ON h.host = e.host LEFT JOIN d ON d.domain = e.domain LEFT JOIN s ON s.suffix = e.suffix, t, hk, dk),
+post AS (
+  SELECT host, any_label, (bad + k * m) / (n + k) AS mean,
+    CASE WHEN dm IS NULL THEN 1 - k / (k + 1) * (kd / (kd + 1)) * (CASE WHEN known IS NULL THEN 20.0::DOUBLE / 21.0::DOUBLE ELSE 1.0::DOUBLE END) ELSE 1 / (n + k + 1) END AS share FROM prior),
+blocked AS (SELECT host FROM post WHERE any_label AND round(mean - 1.64::DOUBLE * sqrt(mean * (1 - mean) * share), 9) > 0.3),
 judged AS (
   SELECT page_id, host, path, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
@@ -177,3 +185,25 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
   WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END AS verdict
 FROM judged
 """
+
+
+# Labels of pages say nothing about hosts in the tables at hand, so a fixture with labels that do covers that branch.
+
+
+def fixture_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same filter over all pages under made-up outcomes: a host's digest says how bad it is, a page's digest how
+    bad it takes to be a bad one, and a quarter of the hosts have no labels."""
+    pages = table(spark, sf_dir, "pages")
+    own, page = F.md5(split_url(F.col("url"))[0]), F.md5(F.col("page_id").cast("string"))
+    bad = (F.substring(own, 1, 1) > F.substring(page, 1, 1)).cast("int")
+    known = pages.where((F.substring(own, 2, 1) >= "4") & F.col("page_id").isNotNull())
+    return url_filters(pages, known.groupBy("page_id").agg(F.max(bad).alias("bad")))
+
+
+_MARKS = OP9_SQL[OP9_SQL.index("marks AS (") : OP9_SQL.index("h0 AS (")]
+FIXTURE_SQL = OP9_SQL.replace(
+    _MARKS,
+    """marks AS (SELECT page_id, max(CAST(substr(md5(host), 1, 1) > substr(md5(CAST(page_id AS VARCHAR)), 1, 1) AS INTEGER)) AS bad
+  FROM split WHERE substr(md5(host), 2, 1) >= '4' AND page_id IS NOT NULL GROUP BY page_id),
+""",
+)
