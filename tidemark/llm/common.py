@@ -16,7 +16,7 @@ from tidemark.shipping import ship
 #: Rows worked on at once. Spark bounds the batch they come in by bytes (64 MiB by default).
 BATCH_ROWS = 256
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,40 +37,37 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, into: list[str] | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back.
 
-    The files survive the loss of any executor and are removed when the driver exits.
+    The files survive the loss of any executor. Their path is added to ``into``, for :func:`forget`; what is
+    left is removed when the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    _written.append((spark, path))
+    _written[path] = spark
+    if into is not None:
+        into.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def mark() -> int:
-    """A place in the list of intermediate tables, for :func:`forget`."""
-    return len(_written)
-
-
-def forget(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
-    """Delete the intermediate tables written by :func:`written` between two marks; all by default."""
-    for _, path in _written[since:until]:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    del _written[since:until]
+def forget(paths: list[str]) -> None:
+    """Delete intermediate tables that nothing reads any more."""
+    for path in paths:
+        if (spark := _written.pop(path, None)) is not None:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    paths.clear()
 
 
 @atexit.register
 def _forget_at_exit() -> None:
-    if _written:
-        try:
-            forget(_written[-1][0])
-        except Exception:  # noqa: BLE001  the JVM may be gone already
-            _written.clear()
+    try:
+        forget(list(_written))
+    except Exception:  # noqa: BLE001  the JVM may be gone already
+        _written.clear()
 
 
 def map_batches(

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, table, texts_of, written
+from tidemark.llm.common import forget, map_batches, table, texts_of, written
 
 SLOTS, MISS, SIEVE = 252, 1e-7, 5.5
 _LOW = np.uint64((1 << 40) - 1)
@@ -168,7 +168,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(both, one, "a bigint, b bigint")
 
 
-def remaining_links(marked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def remaining_links(marked: DataFrame, sets: DataFrame, percent: int, into: list[str] | None = None) -> DataFrame:
     """Confirmed links (a, b) between members of a family whose components differ: all that matter.
 
     ``marked``: id, own component, family (the component of a centre whose bucket it is in). What most
@@ -185,24 +185,24 @@ def remaining_links(marked: DataFrame, sets: DataFrame, percent: int) -> DataFra
     p, q = 100 - percent, 100 + percent
     totals = marked.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.max(F.col("own") != F.col("family")).alias("open"))
     open_ = marked.join(totals.where("open").drop("open"), "family").join(sets, "id")
-    open_ = written(open_.select("family", "members", "id", "own", "items"), "families")
+    open_ = written(open_.select("family", "members", "id", "own", "items"), "families", into)
 
     # Elements by family: how many members have them, so which of them are common.
     counted = open_.select("family", "members", F.explode("items").alias("e")).groupBy("family", "e").agg(F.count(F.lit(1)).alias("n"), F.max("members").alias("members"))
-    counted = written(counted.where("n > 1").withColumn("common", 2 * F.col("n") > F.col("members")), "elements")
+    counted = written(counted.where("n > 1").withColumn("common", 2 * F.col("n") > F.col("members")), "elements", into)
     common = counted.where("common").groupBy("family").agg(F.collect_list("e").alias("c"))
     shared = counted.select("family", "e", F.when(F.col("common"), F.col("members") - F.col("n")).otherwise(F.col("n")).alias("rare")).where("rare > 1")
 
     c = F.coalesce("c", F.array().cast("array<bigint>"))
     apart = open_.join(common, "family", "left").withColumn("d", F.concat(F.array_except("items", c), F.array_except(c, F.col("items"))))
     slack = p * F.size("items").cast("bigint") - q * F.size("d").cast("bigint")
-    apart = written(apart.select("family", "id", "own", F.size("items").alias("n_items"), slack.alias("slack"), "d"), "differences")
+    apart = written(apart.select("family", "id", "own", F.size("items").alias("n_items"), slack.alias("slack"), "d"), "differences", into)
     hubs = apart.groupBy("family").agg(F.max_by(F.struct("id", "own", "slack"), F.struct("slack", -F.col("id"))).alias("hub"))
     seen = apart.join(hubs, "family")
     certain = (F.col("slack") + F.col("hub.slack") >= 0) & (F.col("own") != F.col("hub.own"))
     star = seen.where(certain).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
     seen = seen.withColumn("own", F.when(certain, F.col("hub.own")).otherwise(F.col("own"))).withColumn("seeks", F.col("own") != F.col("hub.own"))
-    seen = written(seen.select("family", "id", "own", "n_items", "slack", "d", "seeks", F.col("hub.slack").alias("most")), "seekers")
+    seen = written(seen.select("family", "id", "own", "n_items", "slack", "d", "seeks", F.col("hub.slack").alias("most")), "seekers", into)
     most = seen.where("seeks").groupBy("family").agg(F.max("slack").alias("most_seeking"))
 
     # Every difference with its place in the order; unshared ones come first and need no row.
@@ -213,77 +213,79 @@ def remaining_links(marked: DataFrame, sets: DataFrame, percent: int) -> DataFra
     placed = placed.withColumn("left", (2 * q) * (F.col("n_d") - F.col("left")))
     # The best partner there could be must still be within reach of what is left.
     reach = F.when(F.col("seeks"), F.col("most")).otherwise(F.col("most_seeking"))
-    placed = written(placed.where(-F.col("slack") - reach <= F.col("left")).select("family", "e", "id", "own", "n_items", "slack", "left", "seeks"), "places")
+    placed = written(placed.where(-F.col("slack") - reach <= F.col("left")).select("family", "e", "id", "own", "n_items", "slack", "left", "seeks"), "places", into)
     x, y = placed.where("seeks").alias("x"), placed.alias("y")
     meet = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.own") != F.col("y.own")) & (
         -F.col("x.slack") - F.col("y.slack") <= F.least("x.left", "y.left")
     ) & (100 * F.least("x.n_items", "y.n_items") >= percent * F.greatest("x.n_items", "y.n_items")))
-    pairs = written(meet.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "pairs")
+    pairs = written(meet.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "pairs", into)
     return confirmed(pairs, sets, percent).unionByName(star)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, into: list[str] | None = None) -> DataFrame:
     """id and label (the smallest id reachable) of every end of a link.
 
     Each round hooks every vertex to its smallest neighbour, follows hooks twice, and contracts;
     a component's number of vertices at least halves, so rounds grow with the logarithm.
     """
-    edges = written(links.where("a <> b").select("a", "b").distinct(), "edges")
+    edges = written(links.where("a <> b").select("a", "b").distinct(), "edges", into)
     labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a").toDF("a", "b"))
-        hook = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "hooks")
+        hook = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "hooks", into)
         for _ in range(2):
             up = hook.select(F.col("id").alias("label"), F.col("label").alias("next"))
             hook = hook.join(up, "label", "left").select("id", F.coalesce("next", "label").alias("label"))
-        hook = written(hook, "hooks")
+        hook = written(hook, "hooks", into)
         up = hook.select(F.col("id").alias("label"), F.col("label").alias("next"))
         if labels is None:
             labels = hook
         else:
-            labels = written(labels.join(up, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "labels")
+            labels = written(labels.join(up, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "labels", into)
         a, b = (hook.select(F.col("id").alias(c), F.col("label").alias(f"{c}2")) for c in ("a", "b"))
-        edges = written(edges.join(a, "a").join(b, "b").where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "edges")
+        edges = written(edges.join(a, "a").join(b, "b").where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "edges", into)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("label")) if labels is None else labels
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_hash and chosen of every document."""
-    threshold = percent / 100
+    threshold, spent = percent / 100, []  # tables that only this function reads
     sig = written(signatures(docs, width, threshold).withColumn("row", F.monotonically_increasing_id()), "signatures")
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("low")
-    classes = written(sig.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("copies"), low), "classes")
+    classes = written(sig.where("n_shingles > 0").groupBy("digest").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("copies"), low), "classes", spent)
     first = sig.withColumnRenamed("row", "id").join(classes.select("id"), "id", "left_semi")
     brief = ["id", "n_shingles", "b0", "b1", "b2", "b3"]
-    bits = written(first.select(*brief, "doc_id", "text_hash", "bands"), "sketches")
+    bits = written(first.select(*brief, "doc_id", "text_hash", "bands"), "sketches", spent)
     keys, places = bits.select("id", F.explode("bands").alias("key")), bits.select("id", "doc_id", "text_hash")
     bits = bits.select(*brief)
 
     # Buckets of two or more, and each one's centre.
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = written(keys.join(sizes, "key"), "buckets")
+    shared = written(keys.join(sizes, "key"), "buckets", spent)
     degree = shared.groupBy("id").agg(F.sum("size").alias("degree"))
     centres = shared.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("centre"))
-    member = written(shared.drop("size").join(centres, "key"), "members")
+    member = written(shared.drop("size").join(centres, "key"), "members", spent)
 
     star = member.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     near = star.join(bits.alias("x"), F.col("a") == F.col("x.id")).join(bits.alias("y"), F.col("b") == F.col("y.id"))
-    star = written(near.where(may_link("x", "y", percent)).select("a", "b"), "star")
-    sets = written(sets_of(docs, places.join(member.select("id").distinct(), "id", "left_semi"), width), "sets")
-    links = written(confirmed(star, sets, percent), "links")
-    labels = components(links)
+    star = written(near.where(may_link("x", "y", percent)).select("a", "b"), "star", spent)
+    sets = written(sets_of(docs, places.join(member.select("id").distinct(), "id", "left_semi"), width), "sets", spent)
+    links = written(confirmed(star, sets, percent), "links", spent)
+    labels = components(links, spent)
 
     # Members outside their centre's component may link to that component and to one another.
     of_id = labels.select("id", F.col("label").alias("own"))
     of_centre = labels.select(F.col("id").alias("centre"), F.col("label").alias("family"))
     marked = member.join(of_id, "id", "left").join(of_centre, "centre", "left")
     marked = marked.select("id", F.coalesce("own", "id").alias("own"), F.coalesce("family", "centre").alias("family")).distinct()
-    more = written(remaining_links(written(marked, "marked"), sets, percent), "links")
+    more = written(remaining_links(written(marked, "marked", spent), sets, percent, spent), "links", spent)
     if not more.isEmpty():
-        labels = components(links.union(more))
+        labels = components(links.union(more), spent)
 
     named = classes.join(labels, "id", "left").where("copies > 1 or label is not null").select("digest", "low", F.coalesce("label", "id").alias("label"))
     named = named.select("digest", "label").join(named.groupBy("label").agg(F.min("low").alias("low")), "label").drop("label")
+    named = written(named, "named")
+    forget(spent)
     out = sig.select("doc_id", "n_shingles", "text_hash", "digest").join(named, "digest", "left")
     alone = F.col("low").isNull()
     chosen = alone | (F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("text_hash") == F.col("low.text_hash")))
