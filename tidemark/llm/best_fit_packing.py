@@ -85,16 +85,16 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str, size: int = SIZE, w
                 doc.append(d)
                 rows.append((p, start, length, zlib.crc32(part)))
                 if with_ids:
-                    ids_out.append(np.frombuffer(part, "<u4").astype(np.int64))
+                    ids_out.append(np.frombuffer(part, "<i4"))
         cols = [pa.array(doc, pa.int64())]
         cols += [pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.int64()) for k in range(4)]
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         if with_ids:
-            cols.append(pa.array(ids_out, pa.list_(pa.int64())))
+            cols.append(pa.array(ids_out, pa.list_(pa.int32())))
             names.append("ids")
         return pa.RecordBatch.from_arrays(cols, names)
 
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
+    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
     return map_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), one, schema)
 
 
