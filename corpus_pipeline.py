@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import best_fit_packing, minhash_dedup, personal_data, quality_rules, toxicity
-from tidemark.llm.common import forget, mark, table, written
+from tidemark.llm.common import forget, table, written
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,13 +58,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before: list[str] = []
     for k, (name, stage) in enumerate(STAGES):
-        begun = mark()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            made = mark()
-            docs = written(docs, name)
-            forget(spark, begun, made)  # what only this stage has read
-            if k:
-                forget(spark, begun - 1, begun)  # the stage before
+            now: list[str] = []
+            docs = written(docs, name, now)
+            forget(before)  # the stage before has been read
+            before = now
     return docs
