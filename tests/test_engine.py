@@ -4,13 +4,14 @@ import hashlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.functions import generator as G
 from tidemark.functions import measure as M
 from tidemark.functions.ledger import Ledger, LedgerError, Oracle, ReplayMap, canonical_digest, checkpoint, multiset_hash
 from tidemark.lsn import HEAD
-from tidemark.operators.search import parse_query, search
+from tidemark.operators.search import build_index, parse_query, search
 from tidemark.plans import histories as H
 from tidemark.plans.engine import Engine, StalenessError, budget_rung
 from tidemark.plans.queries import ORACLES, QUERIES
@@ -110,6 +111,16 @@ def test_index_follows_its_table_and_answers_as_of_positions(spark, tmp_path):
     assert record["queries"] == 3 and record["errors"] == 1 and record["shapes"] == {"columnar:app.t": "0/28", "search:app.t": "0/28"} and "query failed" in record["events"][0]["event"]
 
 
+def test_every_hit_is_returned_unless_a_limit_is_asked_for(spark):
+    rows = spark.range(10_050).selectExpr("id", "if(id % 2 = 0, 'fox', 'fox owl fox') AS body", "CAST(10 AS BIGINT) AS __lsn")
+    index = build_index(rows, F.col("id"), ["body"])
+    assert search(index, "fox").count() == 10_050 and search(index, "+fox -owl").count() == 5_025
+    assert search(index, "owl fox", 7).count() == 7
+    versions = rows.selectExpr("id", "body", "0 AS __ord", f"{HEAD} AS __lsn_to", "__lsn")
+    e = Engine(spark).attach("app.t", versions, 10, ("id",), ("body",))
+    assert e.query("SELECT t.id FROM search('app.t', 'fox') s JOIN app.t t ON CAST(t.id AS VARCHAR) = s.key")[0].count() == 10_050
+
+
 def test_tables_without_a_key_are_searched_by_a_synthetic_one(spark):
     rows = [("red fox", 0, HEAD, 10), ("red fox", 0, HEAD, 10), ("blue fox", 0, HEAD, 20)]
     versions = spark.createDataFrame(rows, "body string, __ord int, __lsn_to bigint, __lsn bigint")

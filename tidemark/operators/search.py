@@ -17,7 +17,7 @@ from tidemark.lsn import HEAD
 from tidemark.schema import LSN, LSN_TO
 
 K1, B = 1.2, 0.75
-LONGEST, MOST_HITS = 40, 10_000
+LONGEST = 40
 SEPARATORS = r"[^\p{L}\p{N}]+"
 #: Postings are kept by this many hashes of their term.
 BUCKETS = 32
@@ -155,8 +155,9 @@ def _leaves(clauses: list[Clause] | tuple[Clause, ...]) -> list[Clause]:
     return [leaf for c in clauses for leaf in (_leaves(c.group) if c.group else [c])]
 
 
-def search(index: Index, query: str, limit: int = MOST_HITS, lsn: int = HEAD - 1) -> DataFrame:
-    """key, lsn and score of the best documents as of a position. Only the query's terms leave the postings."""
+def search(index: Index, query: str, limit: int | None = None, lsn: int = HEAD - 1) -> DataFrame:
+    """key, lsn and score of every document found as of a position, or of the ``limit`` best. Only the query's
+    terms leave the postings."""
     clauses = parse_query(query, index.fields)
     leaves = _leaves(clauses)
     wanted = sorted({w for c in leaves for w in c.words})
@@ -190,7 +191,8 @@ def search(index: Index, query: str, limit: int = MOST_HITS, lsn: int = HEAD - 1
         else:
             found = found.withColumn(f"h{k}", F.coalesce(f"h{k}", F.lit(False)))
     hit, total = _evaluate(clauses, iter(range(len(leaves))))
-    return found.where(hit).select("key", F.col(LSN).alias("lsn"), total.alias("score")).orderBy(F.desc("score"), "key").limit(limit)
+    best = found.where(hit).select("key", F.col(LSN).alias("lsn"), total.alias("score")).orderBy(F.desc("score"), "key")
+    return best if limit is None else best.limit(limit)
 
 
 def _bucket(term: str) -> int:

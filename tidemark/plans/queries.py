@@ -335,7 +335,7 @@ def f9_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: (t != "") & (F.length(t) <= 40))
     first = H.table(spark, sf_dir, "documents").select("doc_id", F.slice(cut, 1, 2).alias("w")).where(F.size("w") == 2).orderBy("doc_id").limit(1).first()
     phrase = " ".join(first["w"]) if first else "none at all"
-    return search(H.stored_index(spark, sf_dir).index(), f'(thatin OR xylophone) -"{phrase}"', lsn=350, limit=10_000_000).select("key")
+    return search(H.stored_index(spark, sf_dir).index(), f'(thatin OR xylophone) -"{phrase}"', lsn=350).select("key")
 
 
 @query("d6_search_top_k", f"""WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM {H.documents_sql(400)} s), m AS (SELECT count(*) AS n, avg(len(w)) AS a FROM d),
