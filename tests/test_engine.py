@@ -121,6 +121,26 @@ def test_every_hit_is_returned_unless_a_limit_is_asked_for(spark):
     assert e.query("SELECT t.id FROM search('app.t', 'fox') s JOIN app.t t ON CAST(t.id AS VARCHAR) = s.key")[0].count() == 10_050
 
 
+def test_postings_are_made_inside_their_rows_and_lie_sorted_by_term(spark, tmp_path):
+    texts = ["b a b", "", None, "a", "Zoo b-a " * 40]
+    state = spark.createDataFrame([(n, t, 10) for n, t in enumerate(texts)], "id bigint, body string, __lsn bigint")
+    made = build_index(state, F.col("id"), ["body"]).postings
+    words = {str(n): (t or "").lower().replace("-", " ").split() for n, t in enumerate(texts)}
+    want = {(k, w, len(ws), tuple(i for i, x in enumerate(ws) if x == w)) for k, ws in words.items() for w in ws}
+    got = [(r["key"], r["term"], r["len"], tuple(r["at"])) for r in made.collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    ddl = "lsn bigint, ord int, op string, id bigint, body string"
+    table = TableStore(spark, str(tmp_path / "t")).create("app.t", [ColumnSpec("id", 20, True), ColumnSpec("body", 25)])
+    table.apply(spark.createDataFrame([(10, n, "I", n, f"w{n % 7} v{n} u") for n in range(300)], ddl), 10)
+    assert table.stored_bytes() > 0 == table.stored_bytes(10)
+    IndexStore(spark, str(tmp_path / "i"), ["body"]).apply(table)
+    for file in (tmp_path / "i").glob("part-*/postings/*.parquet"):
+        terms = duckdb.sql(f"SELECT term FROM read_parquet('{file}')").fetchnumpy()["term"].tolist()
+        assert terms == sorted(terms)
+
+
 def test_tables_without_a_key_are_searched_by_a_synthetic_one(spark):
     rows = [("red fox", 0, HEAD, 10), ("red fox", 0, HEAD, 10), ("blue fox", 0, HEAD, 20)]
     versions = spark.createDataFrame(rows, "body string, __ord int, __lsn_to bigint, __lsn bigint")

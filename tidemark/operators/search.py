@@ -1,8 +1,8 @@
 """Full-text search: stored postings, BM25 ranking and a small query language, at any log position.
 
 Postings carry the interval in which their document version lives, so one index answers as of every
-position up to its watermark, and re-applying a document changes nothing. A query reads the buckets of
-its own terms only; statistics come from one narrow row a document.
+position up to its watermark, and re-applying a document changes nothing. Stored postings are sorted by term,
+so a query reads the pages of its own terms only; statistics come from one narrow row a document.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from tidemark.schema import LSN, LSN_TO
 K1, B = 1.2, 0.75
 LONGEST = 40
 SEPARATORS = r"[^\p{L}\p{N}]+"
-#: Postings are kept by this many hashes of their term.
-BUCKETS = 32
 
 
 def tokens(text: Column, separators: str = SEPARATORS) -> Column:
@@ -28,13 +26,28 @@ def tokens(text: Column, separators: str = SEPARATORS) -> Column:
     return F.filter(F.split(F.lower(text), separators), lambda t: (t != "") & (F.octet_length(t) <= LONGEST))
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.crc32(term.cast("binary")), F.lit(BUCKETS)).cast("int")
+def postings_of(words: Column) -> Column:
+    """One (term, at) a different word of a row, at being its places. The words are sorted with their places and cut
+    where a new one begins, all inside the row: grouping exploded words would sort the whole corpus' words."""
+    pairs = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("place"))))
+
+    def runs(s: Column) -> Column:
+        every = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(every, lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
+        run = lambda b, i, n: F.slice(s, i + 1, F.coalesce(F.get(b, n + 1), F.size(s)) - i)
+        return _once(starts, lambda b: F.transform(b, lambda i, n: F.struct(F.get(s, i)["term"].alias("term"), run(b, i, n)["place"].alias("at"))))
+
+    return _once(pairs, runs)
+
+
+def _once(value: Column, use) -> Column:
+    """use(value) with the value computed once, not at each place it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 @dataclass(frozen=True)
 class Index:
-    """docs: key, __lsn, __lsn_to, <field>_len; postings: bucket, term, key, field, __lsn, __lsn_to, len, at (its places)."""
+    """docs: key, __lsn, __lsn_to, <field>_len; postings: term, key, field, __lsn, __lsn_to, len, at (its places)."""
 
     docs: DataFrame
     postings: DataFrame
@@ -55,21 +68,20 @@ def synthetic_key(columns: list[str]) -> Column:
     return F.concat(F.col(LSN).cast("string"), F.lit("-"), F.sha2(F.concat_ws("\x1f", *parts), 256))
 
 
-def build_index(rows: DataFrame, key: Column, fields: list[str], separators: str = SEPARATORS) -> Index:
-    """Index versions (with __lsn and __lsn_to) or a state (with __lsn). The texts are moved once, by key;
-    postings are grouped where they then lie."""
+def build_index(rows: DataFrame, key: Column, fields: list[str], separators: str = SEPARATORS, parts: int | None = None) -> Index:
+    """Index versions (with __lsn and __lsn_to) or a state (with __lsn). A row's postings are made from that row
+    alone; with ``parts`` the texts are first dealt by key into so many."""
     if LSN_TO not in rows.columns:
         rows = rows.withColumn(LSN_TO, F.lit(HEAD))
+    plain = rows.select(key.cast("string").alias("key"), LSN, LSN_TO, *[F.col(f).cast("string").alias(f) for f in fields])
     words = [F.coalesce(tokens(F.col(f), separators), F.array().cast("array<string>")).alias(f) for f in fields]
-    cut = rows.select(key.cast("string").alias("key"), LSN, LSN_TO, *[F.col(f).cast("string").alias(f) for f in fields]).select("key", LSN, LSN_TO, *words)
-    docs = cut.select("key", LSN, LSN_TO, *[F.size(f).alias(f"{f}_len") for f in fields])
-    near = cut.where(F.col(LSN) < F.col(LSN_TO)).repartition("key")
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in fields]))
-    places = near.select("key", LSN, LSN_TO, each.alias("f")).select(
-        "key", LSN, LSN_TO, F.col("f.field").alias("field"), F.size("f.words").alias("len"), F.posexplode("f.words").alias("place", "term")
-    )
-    grouped = places.groupBy("key", LSN, LSN_TO, "field", "len", "term").agg(F.collect_list("place").alias("at"))
-    return Index(docs, grouped.withColumn("bucket", bucket_of(F.col("term"))), tuple(fields))
+    docs = plain.select("key", LSN, LSN_TO, *words).select("key", LSN, LSN_TO, *[F.size(f).alias(f"{f}_len") for f in fields])
+    near = plain.where(F.col(LSN) < F.col(LSN_TO))
+    near = (near.repartition(parts, "key") if parts else near).select("key", LSN, LSN_TO, *words)
+    each = near.select("key", LSN, LSN_TO, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in fields])).alias("f"))
+    named = each.select("key", LSN, LSN_TO, F.col("f.field").alias("field"), F.col("f.words").alias("words"))
+    postings = named.select("key", LSN, LSN_TO, "field", F.size("words").alias("len"), F.explode(postings_of(F.col("words"))).alias("p"))
+    return Index(docs, postings.select("key", LSN, LSN_TO, "field", "len", "p.term", "p.at"), tuple(fields))
 
 
 # The query language
@@ -163,7 +175,9 @@ def search(index: Index, query: str, limit: int | None = None, lsn: int = HEAD -
     wanted = sorted({w for c in leaves for w in c.words})
     alive = (F.col(LSN) <= lsn) & (F.col(LSN_TO) > lsn)
     docs = index.docs.where(alive)
-    hits = index.postings.where(alive & F.col("term").isin(wanted) & F.col("bucket").isin(sorted({_bucket(w) for w in wanted}))).drop("bucket", LSN_TO)
+    hits = index.postings.where(alive & F.col("term").isin(wanted)).drop(LSN_TO).repartition("key")
+    same = ["key", LSN, "field", "len", "term"]  # equal rows of a table without a key share one
+    hits = hits.groupBy(*same).agg(F.flatten(F.collect_list("at")).alias("at"))
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), *[F.avg(f"{f}_len").alias(f"{f}_avg") for f in index.fields])
     counts = hits.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
     scored = hits.join(F.broadcast(counts), ["term", "field"]).crossJoin(F.broadcast(stats))  # one row a term, and one
@@ -195,12 +209,6 @@ def search(index: Index, query: str, limit: int | None = None, lsn: int = HEAD -
     return best if limit is None else best.limit(limit)
 
 
-def _bucket(term: str) -> int:
-    from zlib import crc32
-
-    return crc32(term.encode()) % BUCKETS
-
-
 def _places(column: str, field: str, word: str, behind: int) -> Column:
     """Where a phrase begins whose word ``behind`` this one would be."""
     mine = F.filter(column, lambda p: (p["field"] == field) & (p["term"] == word))

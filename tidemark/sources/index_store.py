@@ -1,4 +1,4 @@
-"""A stored search index: postings by term hash, one narrow row a document, and a watermark.
+"""A stored search index: postings sorted by term, one narrow row a document, and a watermark.
 
 The index is fed from a versioned table in batches; every batch is one commit that moves the
 watermark, so a batch that is applied again does nothing. Postings keep the interval of their
@@ -17,7 +17,9 @@ from tidemark.operators.search import SEPARATORS, Index, build_index, key_text,
 from tidemark.schema import LSN, LSN_TO, ORD
 from tidemark.sources.store import MASK_ROWS, TableStore
 
-POSTINGS = f"key string, {LSN} bigint, {LSN_TO} bigint, field string, len int, term string, at array<int>, bucket int"
+POSTINGS = f"key string, {LSN} bigint, {LSN_TO} bigint, field string, len int, term string, at array<int>"
+#: Texts of so many stored bytes are indexed by one task: what it sorts by term stays in memory.
+PART_BYTES = 8 << 20
 ENDED = f"key string, {LSN} bigint, at bigint"
 
 
@@ -43,12 +45,12 @@ class IndexStore:
             return self
         versions = table.versions()
         key = self._key(table, versions)
-        index = build_index(versions.where(F.col(LSN) > mark), key, self.fields, self.separators)
+        index = build_index(versions.where(F.col(LSN) > mark), key, self.fields, self.separators, max(1, -(-table.stored_bytes(mark) // PART_BYTES)))
         name = f"part-{uuid.uuid4().hex}"
         index.docs.write.parquet(f"{self.path}/{name}/docs")
-        # Rebalancing joins small buckets and splits large ones, so no term fills a task.
-        by_bucket = index.postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
-        by_bucket.select(*[c.split()[0] for c in POSTINGS.split(", ")]).write.partitionBy("bucket").parquet(f"{self.path}/{name}/postings")
+        # Sorted inside each part: a filter on terms is decided by page bounds, and no term lies in one file alone.
+        by_term = index.postings.select(*[c.split()[0] for c in POSTINGS.split(", ")]).sortWithinPartitions("term")
+        by_term.write.option("compression", "zstd").parquet(f"{self.path}/{name}/postings")
         m["segments"].append({"name": name})
         if mark:
             ended = versions.where((F.col(LSN) <= mark) & (F.col(LSN_TO) > mark) & (F.col(LSN_TO) < HEAD))
@@ -74,8 +76,5 @@ class IndexStore:
         if not names:
             return Index(self.spark.createDataFrame([], docs_ddl), self.spark.createDataFrame([], POSTINGS), tuple(self.fields))
         docs = self.spark.read.schema(docs_ddl).parquet(*[f"{n}/docs" for n in names])
-        postings = None
-        for n in names:  # each part has partition folders of its own
-            part = self.spark.read.schema(POSTINGS).option("basePath", f"{n}/postings").parquet(f"{n}/postings")
-            postings = part if postings is None else postings.unionByName(part)
+        postings = self.spark.read.schema(POSTINGS).parquet(*[f"{n}/postings" for n in names])
         return Index(self._masked(docs, m), self._masked(postings, m), tuple(self.fields))

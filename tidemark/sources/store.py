@@ -251,6 +251,15 @@ class TableStore:
         done = self._segment(self._masked(m, [*m["segments"], *m["open"]]).repartitionByRange(files, LSN), "segment")
         self._commit(m | {"segments": [done] if done["rows"] else [], "open": [], "closed": [], "rows": done["alive"]})
 
+    def stored_bytes(self, after: int = 0) -> int:
+        """Size of the files of the segments with versions that begin beyond ``after``."""
+        m, total = self.manifest(), 0
+        for s in [*m["segments"], *m["open"]]:
+            if s["lsn_max"] > after:
+                _, folder, fs, _ = self._hadoop(f"{self.path}/{s['name']}")
+                total += fs.getContentSummary(folder).getLength()
+        return total
+
     def visible_rows(self) -> int:
         """Rows alive now: a counter of the manifest, not a scan."""
         return self.manifest()["rows"]
