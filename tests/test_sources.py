@@ -261,3 +261,19 @@ def test_config(spark, tmp_path, monkeypatch):
     c = load(tmp_path / "t.toml")
     assert (c.data_dir, c.flush_rows, c.log_budget_bytes) == (tmp_path.resolve() / "d", 5, 9)
     assert [c.rung(n) for n in (4, 5, 7)] == [0, 1, 2] and c.ingest(spark, {}).stores == {}
+
+
+def test_a_batch_of_changes_is_read_once(spark, tmp_path):
+    ddl = "lsn bigint, ord int, op string, id bigint, body string"
+    table, seen = TableStore(spark, str(tmp_path / "t")).create("app.t", [ColumnSpec("id", 20, True), ColumnSpec("body", 25)]), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for rows in batches:
+            seen.add(len(rows))
+            yield rows
+
+    for lsn, op in ((10, "I"), (20, "U"), (30, "D")):
+        table.apply(spark.createDataFrame([(lsn, n, op, n, f"{op}{n}") for n in range(5 if op == "I" else 2)], ddl).mapInPandas(counted, ddl), lsn)
+    assert seen.value == 5 + 2 + 2
+    assert sorted(tuple(r) for r in table.at(20).select("id", "body").collect()) == [(0, "U0"), (1, "U1"), (2, "I2"), (3, "I3"), (4, "I4")]
+    assert sorted(r["id"] for r in table.at(30).collect()) == [2, 3, 4] and not list((tmp_path / "t").glob("draft-*"))

@@ -131,7 +131,7 @@ def v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table fed in three steps: versions that end later than their segment was written are masked by place."""
     changes = H.order_changes(spark, sf_dir)
     store = TableStore(spark, scratch(spark, "steps")).create("app.orders", [ColumnSpec(c, 25, c == "id") for c in H.ORDER_COLUMNS])
-    first = C.versions_of(changes.where("lsn <= 300"), H.ORDER_KEY, H.ORDER_COLUMNS, strict=False)
+    first = C.versions_of(changes.where("lsn <= 300"), H.ORDER_KEY, H.ORDER_COLUMNS, strict=False, truncates=False)
     store.append(first, 300)
     for lsn in (450, 600):
         store.apply(changes.where(F.col("lsn") <= lsn), lsn)

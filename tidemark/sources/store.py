@@ -167,29 +167,49 @@ class TableStore:
         for k in key:
             if f"old_{k}" not in fresh.columns:
                 fresh = fresh.withColumn(f"old_{k}", F.lit(None).cast(fresh.schema[k].dataType))
-        alive = self._alive(m)
-        cut = fresh.where("op = 'T'").select("lsn", "ord").orderBy("lsn", "ord").limit(1)
-        if key:
-            old = [F.coalesce(f"old_{k}", k).alias(k) for k in key]
-            touched = fresh.where("op <> 'T'").select(*key).unionByName(fresh.where("op <> 'T'").select(*old)).distinct()
-            if cut.isEmpty():
-                alive = alive.join(touched, key, "left_semi")
-        elif cut.isEmpty():
-            alive = alive.where("false")
+        wanted = ["lsn", "ord", "op", *names, *[f"old_{k}" for k in key], "unchanged"]
+        drafts: list[str] = []
+        try:
+            fresh = self._draft(fresh.select(*wanted), drafts)
+            alive = self._alive(m)
+            truncate = fresh.where("op = 'T'").select("lsn", "ord").orderBy("lsn", "ord").first()
+            if truncate is None:
+                alive = self._draft(self._touched(alive, fresh, key), drafts) if key else alive.where("false")
+            m = self._applied(m, alive, fresh, names, key, wanted, truncate, strict)
+            self._commit(self._flushed(m) | {"applied_lsn": max(m["applied_lsn"], applied_lsn)})
+        finally:
+            for path in drafts:
+                _, folder, fs, _ = self._hadoop(path)
+                fs.delete(folder, True)
+
+    def _draft(self, rows: DataFrame, drafts: list[str]) -> DataFrame:
+        """The same rows, evaluated once: written beside the segments until the commit is over."""
+        drafts.append(f"{self.path}/draft-{uuid.uuid4().hex}")
+        rows.write.parquet(drafts[-1])
+        return self.spark.read.schema(rows.schema).parquet(drafts[-1])
+
+    @staticmethod
+    def _touched(alive: DataFrame, fresh: DataFrame, key: list[str]) -> DataFrame:
+        """The open versions of the keys in a batch of changes; the table is not shuffled for a batch that can be broadcast."""
+        rows = fresh.where("op <> 'T'")
+        touched = rows.select(*key).unionByName(rows.select(*[F.coalesce(f"old_{k}", k).alias(k) for k in key])).distinct()
+        return alive.join(F.broadcast(touched) if fresh.count() <= MASK_ROWS // 2 else touched, key, "left_semi")
+
+    def _applied(self, m: dict, alive: DataFrame, fresh: DataFrame, names: list[str], key: list[str], wanted: list[str], truncate, strict: bool) -> dict:
+        """The manifest with a batch's new versions and closings."""
         same = [F.lit(None).cast(fresh.schema[f"old_{k}"].dataType).alias(f"old_{k}") for k in key]
         before = alive.select(F.col(LSN).alias("lsn"), F.col(ORD).alias("ord"), F.lit("I").alias("op"), *names, *same, F.array().cast("array<string>").alias("unchanged"))
-        wanted = ["lsn", "ord", "op", *names, *[f"old_{k}" for k in key], "unchanged"]
-        versions = versions_of(before.select(*wanted).unionByName(fresh.select(*wanted)), key, names, strict)
+        versions = versions_of(before.select(*wanted).unionByName(fresh), key, names, strict)
         ends = versions.where((F.col(LSN) <= m["applied_lsn"]) & (F.col(LSN_TO) < HEAD))
         places = [*key, LSN, ORD]
         if key:
             self._close(m, alive.select(*places, "file", "row").join(ends.select(*places, F.col(LSN_TO).alias("at")), places))
-        elif (first := cut.first()) is not None:
-            self._close(m, alive.select("file", "row", F.lit(first["lsn"]).alias("at")))
+        elif truncate is not None:
+            self._close(m, alive.select("file", "row", F.lit(truncate["lsn"]).alias("at")))
         schema = T.StructType.fromJson(m["schema"])
         new = versions.where(F.col(LSN) > m["applied_lsn"]).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
         self._added(m, self._segment(new, "open"), "open")
-        self._commit(self._flushed(m) | {"applied_lsn": max(m["applied_lsn"], applied_lsn)})
+        return m
 
     # Reading
 
