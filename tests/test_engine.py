@@ -121,6 +121,23 @@ def test_every_hit_is_returned_unless_a_limit_is_asked_for(spark):
     assert e.query("SELECT t.id FROM search('app.t', 'fox') s JOIN app.t t ON CAST(t.id AS VARCHAR) = s.key")[0].count() == 10_050
 
 
+def _beside_sql(spark, folder, name):
+    """The rows of a query over documents in a folder, and those of its SQL."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    found = con.execute(ORACLES[name])
+    names = [d[0] for d in found.description]
+    return sorted((tuple(r) for r in QUERIES[name](spark, str(folder)).select(*names).collect()), key=repr), sorted(found.fetchall(), key=repr)
+
+
+def test_search_queries_give_every_document_of_their_sql(spark, tmp_path):
+    docs = spark.range(10_500).selectExpr("id * 41 AS doc_id", "if(id % 100 = 0, 'ononst thatin', 'Thatin ' || id) AS text")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("d3_search_join", "f8_bm25", "f9_required_and_banned"):
+        got, expected = _beside_sql(spark, tmp_path, name)
+        assert len(got) > 10_000 and got == expected
+
+
 def test_postings_are_made_inside_their_rows_and_lie_sorted_by_term(spark, tmp_path):
     texts = ["b a b", "", None, "a", "Zoo b-a " * 40]
     state = spark.createDataFrame([(n, t, 10) for n, t in enumerate(texts)], "id bigint, body string, __lsn bigint")
