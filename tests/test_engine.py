@@ -138,6 +138,13 @@ def test_search_queries_give_every_document_of_their_sql(spark, tmp_path):
         assert len(got) > 10_000 and got == expected
 
 
+def test_missing_texts_do_not_count_in_the_average_length(spark, tmp_path):
+    texts = ["thatin a b", "thatin", None, "", "a b c d xylophone thatin", None]
+    spark.createDataFrame([(n, t) for n, t in enumerate(texts, 1)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got, expected = _beside_sql(spark, tmp_path, "f8_bm25")
+    assert len(got) == 3 and got == expected
+
+
 def test_postings_are_made_inside_their_rows_and_lie_sorted_by_term(spark, tmp_path):
     texts = ["b a b", "", None, "a", "Zoo b-a " * 40]
     state = spark.createDataFrame([(n, t, 10) for n, t in enumerate(texts)], "id bigint, body string, __lsn bigint")

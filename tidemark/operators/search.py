@@ -74,11 +74,12 @@ def build_index(rows: DataFrame, key: Column, fields: list[str], separators: str
     if LSN_TO not in rows.columns:
         rows = rows.withColumn(LSN_TO, F.lit(HEAD))
     plain = rows.select(key.cast("string").alias("key"), LSN, LSN_TO, *[F.col(f).cast("string").alias(f) for f in fields])
-    words = [F.coalesce(tokens(F.col(f), separators), F.array().cast("array<string>")).alias(f) for f in fields]
-    docs = plain.select("key", LSN, LSN_TO, *words).select("key", LSN, LSN_TO, *[F.size(f).alias(f"{f}_len") for f in fields])
+    words = [tokens(F.col(f), separators).alias(f) for f in fields]
+    # A missing text has no length: the document counts, but not in the average.
+    docs = plain.select("key", LSN, LSN_TO, *words).select("key", LSN, LSN_TO, *[F.array_size(f).alias(f"{f}_len") for f in fields])
     near = plain.where(F.col(LSN) < F.col(LSN_TO))
     near = (near.repartition(parts, "key") if parts else near).select("key", LSN, LSN_TO, *words)
-    each = near.select("key", LSN, LSN_TO, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in fields])).alias("f"))
+    each = near.select("key", LSN, LSN_TO, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(f, F.array().cast("array<string>")).alias("words")) for f in fields])).alias("f"))
     named = each.select("key", LSN, LSN_TO, F.col("f.field").alias("field"), F.col("f.words").alias("words"))
     postings = named.select("key", LSN, LSN_TO, "field", F.size("words").alias("len"), F.explode(postings_of(F.col("words"))).alias("p"))
     return Index(docs, postings.select("key", LSN, LSN_TO, "field", "len", "p.term", "p.at"), tuple(fields))
