@@ -145,6 +145,16 @@ def test_missing_texts_do_not_count_in_the_average_length(spark, tmp_path):
     assert len(got) == 3 and got == expected
 
 
+def test_a_dotted_capital_does_not_end_a_word(spark, tmp_path):
+    texts = ["THAT\u0130N ononsti", "thatin b", "that\u0130n", "ONONST thatin", "thati n", "\u0130\u0130 \u212a xylophone K\u0130"]
+    spark.createDataFrame([(n, t) for n, t in enumerate(texts, 1)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name, n in (("f9_required_and_banned", 3), ("f8_bm25", 5), ("f9_groups_and_phrases", 4)):
+        got, expected = _beside_sql(spark, tmp_path, name)
+        assert len(got) == n and got == expected
+    index = build_index(spark.createDataFrame([(1, "\u0130zmir", 10), (2, "i zmir", 10)], "id bigint, body string, __lsn bigint"), F.col("id"), ["body"])
+    assert [r["key"] for r in search(index, "\u0130ZM\u0130R").collect()] == ["1"]
+
+
 def test_postings_are_made_inside_their_rows_and_lie_sorted_by_term(spark, tmp_path):
     texts = ["b a b", "", None, "a", "Zoo b-a " * 40]
     state = spark.createDataFrame([(n, t, 10) for n, t in enumerate(texts)], "id bigint, body string, __lsn bigint")

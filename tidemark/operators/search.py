@@ -19,11 +19,14 @@ from tidemark.schema import LSN, LSN_TO
 K1, B = 1.2, 0.75
 LONGEST = 40
 SEPARATORS = r"[^\p{L}\p{N}]+"
+DOTTED = "\u0130"
 
 
 def tokens(text: Column, separators: str = SEPARATORS) -> Column:
-    """Lower-case runs of letters and digits, those above 40 bytes dropped."""
-    return F.filter(F.split(F.lower(text), separators), lambda t: (t != "") & (F.octet_length(t) <= LONGEST))
+    """Lower-case runs of letters and digits, those above 40 bytes dropped. The one letter whose lower case is a letter
+    and a mark, which would end the word, becomes the letter alone."""
+    lower = F.lower(F.replace(text, F.lit(DOTTED), F.lit("i")))
+    return F.filter(F.split(lower, separators), lambda t: (t != "") & (F.octet_length(t) <= LONGEST))
 
 
 def postings_of(words: Column) -> Column:
@@ -146,7 +149,7 @@ def _parse(query: str, at: int, fields: tuple[str, ...], inside: bool) -> tuple[
             raise ValueError(f"unknown field {name!r}")
         if phrase is None and term != "*" and "*" in term:
             raise ValueError(f"words with a wildcard are not supported: {term!r}")
-        words = tuple(w for w in re.split(r"[\W_]+", (phrase if phrase is not None else term).lower()) if w)
+        words = tuple(w for w in re.split(r"[\W_]+", (phrase if phrase is not None else term).replace(DOTTED, "i").lower()) if w)
         if words or term == "*":
             lists[-1].append(Clause(words, name, need or sign == "+", ban or sign == "-", float(boost or 1)))
         need = ban = False

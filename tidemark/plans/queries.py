@@ -12,7 +12,7 @@ from tidemark.functions import generator
 from tidemark.lsn import format_lsn, lsn_column, lsn_text
 from tidemark.operators import changes as C
 from tidemark.operators import versions as V
-from tidemark.operators.search import search
+from tidemark.operators.search import search, tokens
 from tidemark.plans import generated_sql
 from tidemark.plans import histories as H
 from tidemark.schema import ColumnSpec, as_of_join, schema_at, schema_versions
@@ -332,7 +332,7 @@ def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHERE (list_contains(w, 'thatin') OR list_contains(w, 'xylophone')) AND NOT contains(' ' || array_to_string(w, ' ') || ' ', p)""")
 def f9_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(one OR other) without a phrase: the first two words of the first document that has two."""
-    cut = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: (t != "") & (F.length(t) <= 40))
+    cut = tokens(F.col("text"), "[^a-z0-9]+")
     first = H.table(spark, sf_dir, "documents").select("doc_id", F.slice(cut, 1, 2).alias("w")).where(F.size("w") == 2).orderBy("doc_id").limit(1).first()
     phrase = " ".join(first["w"]) if first else "none at all"
     return search(H.stored_index(spark, sf_dir).index(), f'(thatin OR xylophone) -"{phrase}"', lsn=350).select("key")
