@@ -138,6 +138,15 @@ def test_search_queries_give_every_document_of_their_sql(spark, tmp_path):
         assert len(got) > 10_000 and got == expected
 
 
+def test_no_limit_is_planned_where_none_is_asked_for(spark, tmp_path):
+    """Whatever the number of hits: no count of rows can show that a larger one would not be cut."""
+    spark.range(100).selectExpr("id AS doc_id", "'Thatin ' || id AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    cuts = lambda df: [w for w in ("Limit", "Sample", "Tail", "Offset") if w in df._jdf.queryExecution().optimizedPlan().toString()]
+    for name in ("d3_search_join", "f8_bm25", "f9_required_and_banned", "f9_groups_and_phrases"):
+        assert cuts(QUERIES[name](spark, str(tmp_path))) == []
+    assert cuts(search(H.stored_index(spark, str(tmp_path)).index(), "thatin", 7)) == ["Limit"]
+
+
 def test_missing_texts_do_not_count_in_the_average_length(spark, tmp_path):
     texts = ["thatin a b", "thatin", None, "", "a b c d xylophone thatin", None]
     spark.createDataFrame([(n, t) for n, t in enumerate(texts, 1)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
